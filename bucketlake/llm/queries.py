@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, simhash
+from . import bpe, exact_dedup, quality, simhash, toxicity
 from .common import read_table
+from .training import remainder
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 3) == 1
+    model = quality.train(docs, read_table(spark, sf_dir, "labels"), ~held_out)
+    rows = quality.score(docs, model)
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -35,10 +44,20 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 5) == 0
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), ~held_out)
+    rows = toxicity.score(docs, model)
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_mil": op1_quality_mil,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_simhash": op4_simhash,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_toxicity_nnpu": op9_toxicity_nnpu,
 }
 
 ORACLES: dict[str, str] = {
