@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, quality, simhash, toxicity
+from . import bpe, exact_dedup, mixing, quality, simhash, toxicity
 from .common import read_table
 from .training import remainder
 
@@ -44,6 +44,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return mixing.mixture(docs, carry=["doc_id", "source", "lang"], **mixing.DEFAULT_MIX)
+
+
 def op9_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = remainder("doc_id", 5) == 0
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_simhash": op4_simhash,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_mixing": op7_mixing,
     "op9_toxicity_nnpu": op9_toxicity_nnpu,
 }
 
