@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality, simhash, toxicity
+from . import bpe, exact_dedup, mixing, quality, simhash, toxicity, warc
 from .common import read_table
 from .training import remainder
 
@@ -57,6 +57,12 @@ def op9_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archive(read_table(spark, sf_dir, "pages"), warc.new_folder(spark))
+    rows = warc.read_archive(spark, manifest, with_payload=False)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mil": op1_quality_mil,
     "op2_byte_bpe": op2_byte_bpe,
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
     "op9_toxicity_nnpu": op9_toxicity_nnpu,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {
@@ -79,4 +86,13 @@ ORACLES: dict[str, str] = {
                text_sha256
         FROM t
         WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)""",
+    "op10_warc": """
+        WITH p AS (
+          SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        q AS (
+          SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to
+        FROM q""",
 }
