@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality, simhash, toxicity, warc
+from . import ann, bpe, exact_dedup, mixing, quality, simhash, toxicity, warc
 from .common import read_table
 from .training import remainder
 
@@ -49,6 +49,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(docs, carry=["doc_id", "source", "lang"], **mixing.DEFAULT_MIX)
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op9_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = remainder("doc_id", 5) == 0
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
+    "op8_ann": op8_ann,
     "op9_toxicity_nnpu": op9_toxicity_nnpu,
     "op10_warc": op10_warc,
 }
