@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, mixing, quality, simhash, toxicity, warc
+from . import ann, bpe, exact_dedup, html_extract, mixing, quality, simhash, toxicity, warc
 from .common import read_table
 from .training import remainder
 
@@ -37,6 +37,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select(
@@ -70,6 +74,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mil": op1_quality_mil,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_html_extract": op3_html_extract,
     "op4_simhash": op4_simhash,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
