@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, html_extract, mixing, quality, simhash, toxicity, warc
+from . import ann, bpe, chat, exact_dedup, html_extract, mixing, quality, simhash, toxicity, warc
 from .common import read_table
 from .training import remainder
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read_table(spark, sf_dir, "conversations"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"), hash_all=True)
     return found.select(
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_html_extract": op3_html_extract,
     "op4_simhash": op4_simhash,
+    "op5_chat_format": op5_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
     "op8_ann": op8_ann,
