@@ -86,7 +86,11 @@ class Encoder:
     def __init__(self, pattern: str, ranks: dict[bytes, int], gaps: dict[int, int] | None = None):
         self.pattern = regex.compile(pattern)
         self.gaps = unicode_gaps() if gaps is None else gaps
-        self.odd = re.compile("[" + "".join(map(re.escape, map(chr, sorted(self.gaps)))) + "]") if self.gaps else re.compile(r"(?!)")
+        # A class of the basic plane is a bit table; one with other planes in it
+        # would be searched item by item, so texts with any of those are translated.
+        low = "".join(re.escape(chr(c)) for c in sorted(self.gaps) if c < 0x10000)
+        self.odd = re.compile(f"[{low}\U00010000-\U0010ffff]") if self.gaps else re.compile(r"(?!)")
+        self.narrow = min(self.gaps, default=0x110000) > 0xFF
         self.core = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pieces: dict[str, bytes] = {}
         size = max(ranks.values(), default=-1) + 1
@@ -98,7 +102,15 @@ class Encoder:
     def plain(self, text: str) -> str:
         """The text with a stand-in, of equal length, for each code point that the
         pattern engines class differently."""
-        return text if text.isascii() or not self.odd.search(text) else text.translate(self.gaps)
+        if text.isascii():
+            return text
+        if self.narrow:
+            try:
+                text.encode("latin-1")
+                return text
+            except UnicodeEncodeError:
+                pass
+        return text.translate(self.gaps) if self.odd.search(text) else text
 
     def cuts(self, text: str, start: int, stop: int) -> list[int]:
         """Boundaries of the matches of text[start:stop], ``start`` included. The
