@@ -19,6 +19,13 @@ fingerprints differ in the 16 free bits) is compared in pairs of chunks, each
 pair a unit of its own. Nothing is dropped, no task holds an unbounded bucket,
 and only forest edges are emitted, never all pairs.
 
+Similarity. Texts whose five-word shingles are 0.8 alike differ in about 10 of 64
+bits. Masks that cover 10 bits would need 2^11 tables with keys of few bits, so with
+``similarity`` a second set of links is added to those of the masks: equal bands of
+a MinHash sketch (``BANDS`` of ``BAND_ROWS`` values) bring rows together, and all
+pairs of a bucket are compared by ``SKETCH`` values. A pair at 0.8 shares a band
+with probability 0.998. Large buckets are compared in pairs of chunks as well.
+
 Defined results
   null or blank text    fingerprint zero, linked like any other
   one or two words      the whole sequence is the single shingle
@@ -30,7 +37,7 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,29 +53,44 @@ SEED = 42
 RADIUS = 3
 GROUP_LIMIT = 2048
 CHUNK = 2048
+SKETCH = 256
+BANDS = 21
+BAND_ROWS = 6
+SKETCH_GROUP = 512
+#: One standard error of a share of ``SKETCH`` values at 0.8.
+SLACK = 0.025
 _BLOCK = 1 << 15
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """SimHash of a text, unsigned; a bit is set if over half the hashes set it."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; of texts with fewer words, of the
+    whole sequence; of texts without words, none."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     h = xxhash.xxh64_intdigest
+    joined = b" ".join(tokens)
     if len(tokens) <= words:
-        hashes = [h(b" ".join(tokens), SEED)]
-    else:
-        joined = b" ".join(tokens)
-        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        starts = np.cumsum(sizes + 1) - sizes - 1
-        ends = starts + sizes
-        hashes = [h(joined[a:b], SEED) for a, b in zip(starts[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
-    every = np.array(hashes, dtype="<u8")
+        return np.array([h(joined, SEED)], np.uint64)
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    ends = starts + sizes
+    return np.array([h(joined[a:b], SEED) for a, b in zip(starts[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint_of(every: np.ndarray) -> int:
+    """A bit is set if over half the hashes set it."""
     ones = np.zeros(64, np.int64)
+    every = every.astype("<u8", copy=False)
     for at in range(0, len(every), _BLOCK):
         part = every[at : at + _BLOCK]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(every), bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(every), bitorder="little").view("<u8")[0]) if len(every) else 0
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """SimHash of a text, unsigned."""
+    return fingerprint_of(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
@@ -103,61 +125,71 @@ def _tables(masks: list[int]) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("mask")) for k, m in enumerate(masks)])
 
 
-def _forest(members: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
-    """Edges of a spanning forest of the links within ``members``."""
-    left, right, rest = [], [], members
+Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _forest(ids: np.ndarray, values: np.ndarray, near: Near) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of the links within a group."""
+    left, right, rest = [], [], np.arange(len(ids))
     while len(rest) > 1:
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             node = frontier.pop()
-            near = np.bitwise_count(rest ^ node) <= radius
-            if near.any():
-                found = rest[near]
-                left += [int(node)] * len(found)
-                right += found.tolist()
-                frontier += list(found)
-                rest = rest[~near]
+            close = near(values[rest], values[node])
+            if close.any():
+                found = rest[close]
+                left += [int(ids[node])] * len(found)
+                right += ids[found].tolist()
+                frontier += found.tolist()
+                rest = rest[~close]
     return left, right
 
 
-def _across(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
-    """Edges of a spanning forest of the links between two chunks."""
+def _across(ids: np.ndarray, values: np.ndarray, second: np.ndarray, near: Near) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of the links between two chunks; ``second`` tells
+    which rows are of the second."""
     left, right = [], []
-    open_a, open_b = a, b
-    while len(open_a) and len(open_b):
-        frontier, open_a = [(open_a[0], True)], open_a[1:]
+    open_ = [np.flatnonzero(~second), np.flatnonzero(second)]
+    while len(open_[0]) and len(open_[1]):
+        frontier, open_[0] = [(open_[0][0], 0)], open_[0][1:]
         while frontier:
-            node, in_a = frontier.pop()
-            other = open_b if in_a else open_a
-            near = np.bitwise_count(other ^ node) <= radius
-            if near.any():
-                found = other[near]
-                left += [int(node)] * len(found)
-                right += found.tolist()
-                frontier += [(x, not in_a) for x in found]
-                if in_a:
-                    open_b = other[~near]
-                else:
-                    open_a = other[~near]
+            node, mine = frontier.pop()
+            other = open_[1 - mine]
+            close = near(values[other], values[node])
+            if close.any():
+                found = other[close]
+                left += [int(ids[node])] * len(found)
+                right += ids[found].tolist()
+                frontier += [(x, 1 - mine) for x in found.tolist()]
+                open_[1 - mine] = other[~close]
     return left, right
 
 
-def _link_groups(rows: DataFrame, keys: list[str], radius: int, side: bool) -> DataFrame:
-    """Forest edges of each group of ``rows``; groups are streamed in key order.
+def _within(radius: int) -> Near:
+    # a count of signed values would take their absolute values
+    return lambda many, one: np.bitwise_count(many.view(np.uint64) ^ one.view(np.uint64)) <= radius
+
+
+def _alike(share: float) -> Near:
+    return lambda many, one: (many == one).mean(axis=1) >= share
+
+
+def _link_groups(rows: DataFrame, keys: list[str], near: Near, side: bool, sketch: bool = False) -> DataFrame:
+    """(u, v) in terms of fp: forest edges of each group of ``rows``; groups are
+    streamed in key order. Rows are compared by fp or, with ``sketch``, by sketch.
 
     ``side`` tells that rows carry a ``side`` column: 2 links within a chunk, 0
     and 1 are two chunks that are linked with each other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(fp: np.ndarray, where: np.ndarray | None) -> pa.RecordBatch | None:
-            fp = np.ascontiguousarray(fp).view(np.uint64)  # a signed count would take the absolute value
-            if where is None or (len(where) and where[0] == 2):
-                a, b = _forest(fp, radius)
-            else:
-                a, b = _across(fp[where == 0], fp[where == 1], radius)
-            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)]
-            return pa.RecordBatch.from_arrays(signed, names=["u", "v"]) if a else None
+        def linked(group: pa.Table) -> pa.RecordBatch | None:
+            ids = group.column("fp").to_numpy()
+            values = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u2").reshape(len(ids), -1) if sketch else np.ascontiguousarray(ids)
+            where = group.column("side").to_numpy() if side else None
+            whole = where is None or where[0] == 2
+            a, b = _forest(ids, values, near) if whole else _across(ids, values, where == 1, near)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"]) if a else None
 
         kept: pa.Table | None = None
         for batch in batches:
@@ -168,20 +200,29 @@ def _link_groups(rows: DataFrame, keys: list[str], radius: int, side: bool) -> D
             for c in columns:
                 change[1:] |= c[1:] != c[:-1]
             cuts = [0, *np.flatnonzero(change).tolist()]
-            fp = table.column("fp").to_numpy()
-            where = table.column("side").to_numpy() if side else None
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if (out := linked(fp[a:b], None if where is None else where[a:b])) is not None:
+                if (out := linked(table.slice(a, b - a))) is not None:
                     yield out
             kept = table.slice(cuts[-1]).combine_chunks()
-        if kept is not None and len(kept):
-            if (out := linked(kept.column("fp").to_numpy(), kept.column("side").to_numpy() if side else None)) is not None:
-                yield out
+        if kept is not None and len(kept) and (out := linked(kept)) is not None:
+            yield out
 
-    shaped = rows.select(*keys, "fp", *(["side"] if side else []))
+    shaped = rows.select(*keys, "fp", *(["sketch"] if sketch else []), *(["side"] if side else []))
     return shaped.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
 
 
+def _units(large: DataFrame, keys: list[str], chunk: int, spread: Column) -> DataFrame:
+    """Rows of large buckets, of size ``n``, dealt out as pairs of chunks."""
+    placed = large.withColumn("blocks", F.ceil(F.col("n") / chunk).cast("int")).withColumn("own", F.pmod(spread, F.col("blocks")).cast("int"))
+    own = [c for c in large.columns if c not in (*keys, "n")]
+    return placed.select(*keys, *own, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        *keys, *own,
+        F.least("own", "other").alias("a"),
+        F.greatest("own", "other").alias("b"),
+        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
+    )
+
+
 def _bucket_edges(rows: DataFrame, keys: list[str], radius: int, limit: int) -> tuple[DataFrame, DataFrame]:
     """Edges of the buckets of at most ``limit`` members, and the rows of larger
     buckets with their size ``n``."""
@@ -191,7 +232,7 @@ def _bucket_edges(rows: DataFrame, keys: list[str], radius: int, limit: int) ->
     pairs = sizes.where(f"n = 2 AND bit_count(low ^ high) <= {radius}").select(F.col("low").alias("u"), F.col("high").alias("v"))
     some = rows.join(sizes.where(f"n > 2 AND n <= {limit}").select(*keys), keys, "left_semi")
     large = rows.join(sizes.where(f"n > {limit}").select(*keys, "n"), keys)
-    return pairs.union(_link_groups(some, keys, radius, side=False)), large
+    return pairs.union(_link_groups(some, keys, _within(radius), side=False)), large
 
 
 def links(fps: DataFrame, radius: int = RADIUS, group_limit: int = GROUP_LIMIT, chunk: int = CHUNK, seed: int = 7) -> DataFrame:
@@ -206,35 +247,94 @@ def links(fps: DataFrame, radius: int = RADIUS, group_limit: int = GROUP_LIMIT,
         "fp", "k1", F.col("t.k").alias("k2"), F.col("fp").bitwiseAND(F.col("mask1").bitwiseOR(F.col("t.mask"))).alias("part2")
     )
     more, still = _bucket_edges(checkpointed(again), ["k1", "k2", "part2"], radius, group_limit)
-    blocks = F.ceil(F.col("n") / chunk).cast("int")
-    placed = still.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    units = placed.select("k1", "k2", "part2", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "k1", "k2", "part2", "fp",
-        F.least("own", "other").alias("a"),
-        F.greatest("own", "other").alias("b"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
-    return edges.union(more).union(_link_groups(units, ["k1", "k2", "part2", "a", "b"], radius, side=True))
+    keys = ["k1", "k2", "part2"]
+    units = _units(still.select(*keys, "fp", "n"), keys, chunk, F.xxhash64("fp"))
+    return edges.union(more).union(_link_groups(units, [*keys, "a", "b"], _within(radius), side=True))
+
+
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20)
+    odd = rng.integers(1, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return odd[:, None], rng.integers(0, 2**32, SKETCH, dtype=np.uint32)[:, None]
+
 
+_ODD, _ADD = _multipliers()
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+
+def sketch_of(hashes: np.ndarray) -> tuple[bytes, list[int]]:
+    """Smallest values of ``SKETCH`` permutations of the shingles' hashes: their upper
+    halves for comparison, and a key for each band of ``BAND_ROWS`` of them."""
+    low = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
+    mixed = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+    for at in range(0, len(mixed), 1024):
+        low = np.minimum(low, (_ODD * mixed[None, at : at + 1024] + _ADD).min(axis=1))
+    bands = low[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
+    keys = [xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(bands)]
+    return (low >> np.uint32(16)).astype("<u2").tobytes(), [k - (1 << 64) if k >> 63 else k for k in keys]
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, fp, sketch, bands)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, marks, bands = [], [], []
+            for t in batch.column(1):
+                hashes = shingle_hashes(t.as_py(), words)
+                fps.append(fingerprint_of(hashes))
+                mark, keys = sketch_of(hashes)
+                marks.append(mark)
+                bands.append(keys)
+            fps = np.array(fps, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "fp", "sketch", "bands"])
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text"))
+    return source.mapInArrow(run, f"id {id_type}, fp long, sketch binary, bands array<long>")
+
+
+def sketch_links(rows: DataFrame, share: float, group_limit: int = SKETCH_GROUP) -> DataFrame:
+    """(u, v) in terms of fp: a forest for each band's bucket of the rows whose
+    sketches agree in ``share`` of their values."""
+    marks = checkpointed(rows.groupBy("fp", F.xxhash64("sketch").alias("mark")).agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    dealt = marks.select("fp", "mark", F.posexplode("bands").alias("band", "key"))
+    keys = ["band", "key"]
+    sizes = checkpointed(dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    # Only rows that share a bucket fetch their sketch.
+    held = marks.select(F.col("fp").alias("f"), F.col("mark").alias("m"), "sketch")
+    shared = checkpointed(dealt.join(sizes, keys).join(held, (F.col("fp") == F.col("f")) & (F.col("mark") == F.col("m"))).select(*keys, "fp", "sketch", "n"))
+    some = _link_groups(shared.where(F.col("n") <= group_limit), keys, _alike(share), side=False, sketch=True)
+    units = _units(shared.where(F.col("n") > group_limit), keys, group_limit, F.xxhash64("fp", "sketch"))
+    return some.union(_link_groups(units, [*keys, "a", "b"], _alike(share), side=True, sketch=True))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, radius: int = RADIUS, similarity: float | None = None
+) -> DataFrame:
     """(id, fp, component): one row per input row; component is the smallest id
-    that is reachable through fingerprints at most ``radius`` bits apart."""
-    rows = checkpointed(fingerprints(docs, id_col, text_col, words))
+    that is reachable through fingerprints at most ``radius`` bits apart and, with
+    ``similarity``, through sets of shingles that are at least so similar."""
+    if similarity is None:
+        rows = checkpointed(fingerprints(docs, id_col, text_col, words))
+    else:
+        rows = checkpointed(sketches(docs, id_col, text_col, words))
     nodes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = checkpointed(components(links(nodes.select("fp"), radius)))
+    edges = links(nodes.select("fp"), radius)
+    if similarity is not None:
+        edges = edges.union(sketch_links(rows, similarity - SLACK))
+    roots = checkpointed(components(edges))
     # Fingerprints that have a link, with their root; the others are alone.
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = checkpointed(named.groupBy("root").agg(F.min("low").alias("component")))
     named = checkpointed(named.join(least.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component"))
-    return rows.join(named, F.col("fp") == F.col("f")).select("id", "fp", "component")
+    return rows.select("id", "fp").join(named, F.col("fp") == F.col("f")).select("id", "fp", "component")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest id stays, with
     all its columns. A group whose ids are all null keeps one row per
     fingerprint."""
-    found = near_duplicates(docs, id_col, text_col, words=words, radius=radius)
+    found = near_duplicates(docs, id_col, text_col, words=words, radius=radius, similarity=similarity)
     tag = F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("tag")
     decisions = found.select("id", tag, F.col("id").eqNullSafe(F.col("component")).alias("kept"))
     return keep_rows(docs, decisions, id_col, text_col, lambda t: fingerprint(t, words).to_bytes(8, "big"))

@@ -100,10 +100,39 @@ def test_documents(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_similarity(spark):
+    import random
+
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts, family = {}, {}
+    for base in range(30):
+        words = [rng.choice(vocabulary) for _ in range(300)]
+        texts[base * 10] = " ".join(words)
+        for k in range(1, 4):  # each change spoils five shingles
+            copy = list(words)
+            for at in rng.sample(range(300), 2 * k):
+                copy[at] = rng.choice(vocabulary)
+            texts[base * 10 + k], family[base * 10 + k] = " ".join(copy), base * 10
+        far = list(words)
+        for at in rng.sample(range(300), 60):
+            far[at] = rng.choice(vocabulary)
+        texts[base * 10 + 9] = " ".join(far)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.id: r.component for r in simhash.near_duplicates(df, words=5, similarity=0.8).collect()}
+    assert got == {i: family.get(i, i) for i in texts}
+    kept = simhash.drop_near_duplicates(df, words=5, similarity=0.8)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in texts if i not in family)
+    rows = simhash.sketches(df, "doc_id", "text", 5)
+    small = {frozenset((r.node, r.root)) for r in components(simhash.sketch_links(rows, 0.775, 2)).collect()}
+    assert small == {frozenset((r.node, r.root)) for r in components(simhash.sketch_links(rows, 0.775)).collect()}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(df).count() == 0
     assert simhash.drop_near_duplicates(df).count() == 0
+    assert simhash.drop_near_duplicates(df, words=5, similarity=0.8).count() == 0
 
 
 def test_path_components(spark):
