@@ -32,7 +32,7 @@ import base64
 import hashlib
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +41,14 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_name, text_or_empty
+from .common import bounded_batches, fresh_name, text_or_empty
 
 CHUNK = 1 << 16
 OVERLAP = 512
 #: Ranks are broadcast; a vocabulary beyond this is refused.
 MAX_RANKS = 1 << 20
-_CACHE_PIECES = 200_000
-_ENCODERS: dict[str, Encoder] = {}
+_CACHE_PIECES = 100_000
+_CODERS: dict[tuple[str, str], object] = {}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -93,10 +93,6 @@ class Encoder:
         self.narrow = min(self.gaps, default=0x110000) > 0xFF
         self.core = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pieces: dict[str, bytes] = {}
-        size = max(ranks.values(), default=-1) + 1
-        self.tokens: list[bytes | None] = [None] * size
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
 
     # -- pre-tokenising -------------------------------------------------
     def plain(self, text: str) -> str:
@@ -197,12 +193,19 @@ class Encoder:
         piece, known = self.piece, self.pieces.get
         return b"".join([known(p) or piece(p) for p in (text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))])
 
-    # -- decoding -------------------------------------------------------
+
+class Decoder:
+    """Token bytes by id."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+
     def decode(self, packed: bytes) -> bytes:
         tokens = self.tokens
         try:
-            parts = [tokens[i] for i in np.frombuffer(packed, "<u4").tolist()]
-            return b"".join(parts)
+            return b"".join([tokens[i] for i in np.frombuffer(packed, "<u4").tolist()])
         except (IndexError, TypeError):
             bad = next(i for i in np.frombuffer(packed, "<u4").tolist() if i >= len(tokens) or tokens[i] is None)
             raise ValueError(f"id {bad} is not in the vocabulary") from None
@@ -219,10 +222,18 @@ class Vocabulary:
         self.held = spark.sparkContext.broadcast((ranks, unicode_gaps()))
 
     def encoder(self) -> Encoder:
-        if self.key not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[self.key] = Encoder(self.pattern, *self.held.value)
-        return _ENCODERS[self.key]
+        return self._coder("encode", lambda: Encoder(self.pattern, *self.held.value))
+
+    def decoder(self) -> Decoder:
+        return self._coder("decode", lambda: Decoder(self.held.value[0]))
+
+    def _coder(self, kind: str, make: Callable):
+        """A worker keeps the coder of one vocabulary, and of one kind: workers of a
+        chain of tasks each have their own."""
+        if (kind, self.key) not in _CODERS:
+            _CODERS.clear()
+            _CODERS[kind, self.key] = make()
+        return _CODERS[kind, self.key]
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_col: str = "ids", *, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -230,7 +241,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_
     kept = [c for c in docs.columns if c.lower() not in (text_col.lower(), out_col.lower())]
     own = docs.select(*[F.col(f"`{c}`") for c in kept])
     text = fresh_name(own, "__text")
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], text_or_empty(text_col).alias(text))
+    source = bounded_batches(docs).select(*[F.col(f"`{c}`") for c in kept], text_or_empty(text_col).alias(text))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields]
     out_schema = ", ".join([*fields, f"`{out_col}` binary"])
 
@@ -324,12 +335,12 @@ def _stitched(coder: Encoder, batches: Iterator[pa.RecordBatch], n: int, chunk:
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``rows`` with the raw bytes that the packed ids stand for; null ids give null."""
     names = [c for c in rows.columns if c.lower() != out_col.lower()]
-    source = rows.select(*[F.col(f"`{c}`") for c in names])
+    source = bounded_batches(rows).select(*[F.col(f"`{c}`") for c in names])
     at = names.index(ids_col)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = vocabulary.encoder()
+        coder = vocabulary.decoder()
         for batch in batches:
             raw = pa.array([None if (p := x.as_py()) is None else coder.decode(p) for x in batch.column(at)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, raw], names=[*names, out_col])

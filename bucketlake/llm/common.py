@@ -43,6 +43,16 @@ def fresh_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def bounded_batches(df: DataFrame, rows: int = 512, size: str = "8m") -> DataFrame:
+    """``df``, after making the session's Arrow batches small enough for texts of any
+    length. Values that the user has set are left as they are."""
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if not conf.contains(key):
+            df.sparkSession.conf.set(key, value)
+    return df
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
@@ -57,7 +67,7 @@ def tagged(docs: DataFrame, text_col: str, tag_of: Callable[[str | None], bytes]
             tags = pa.array([tag_of(t.as_py()) for t in batch.column(at)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, tags], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)
 
 
 def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str, tag_of: Callable[[str | None], bytes]) -> DataFrame:

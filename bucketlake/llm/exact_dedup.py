@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, keep_rows, text_or_empty
+from .common import bounded_batches, checkpointed, keep_rows, text_or_empty
 
 #: Fixed by the definition of equal texts: space and tab to carriage return.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -64,7 +64,7 @@ def short_keys(docs: DataFrame, text_col: str) -> DataFrame:
                 [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], ["norm_len", "prefix_hash"]
             )
 
-    return docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "norm_len long, prefix_hash long")
+    return bounded_batches(docs).select(text_or_empty(text_col).alias("text")).mapInArrow(run, "norm_len long, prefix_hash long")
 
 
 def shared_keys_bitmap(keys: DataFrame, bits: int) -> bytearray:
@@ -120,7 +120,7 @@ def content_hashes(docs: DataFrame, id_col: str, text_col: str, bitmap: bytearra
                 ["id", "n_points", "norm_len", "shared", "digest"],
             )
 
-    return docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
+    return bounded_batches(docs).select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def exact_duplicates(

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import bounded_batches, checkpointed
 
 DEPTH = 12
 SUPPORT = 0.1
@@ -246,7 +246,7 @@ def templates(pages: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    tokens = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(
+    tokens = bounded_batches(pages).select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(
         run, "host string, token long, kind byte, occurs long, once boolean, content long, chars long, links long"
     )
     seen = tokens.groupBy("host", "token", "kind").agg(

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, fresh_name
+from .common import bounded_batches, checkpointed, fresh_name
 
 TOPICS = 8
 MAX_CELLS = 200_000
@@ -71,7 +71,7 @@ def with_cells(docs: DataFrame, text_col: str, topics: int) -> tuple[DataFrame,
             new = [pa.array([topic_of(t, topics) for t in texts], pa.int32()), pa.array([len(t.split()) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, topic, tokens])
 
-    return docs.mapInArrow(run, schema), topic, tokens
+    return bounded_batches(docs).mapInArrow(run, schema), topic, tokens
 
 
 def target_shares(totals: dict, target: dict | None, flatten: float, rest: float) -> dict:

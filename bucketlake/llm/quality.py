@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import bounded_batches, text_or_empty
 from .training import labelled_sample, prior
 
 PASSAGE_WORDS = 48
@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | bool = True, *, l
     usable = F.lit(usable) if isinstance(usable, bool) else usable
     # at most 2 * per_class ids: a proven bound for the broadcast
     wanted = F.broadcast(labelled_sample(labels, label_col, per_class, usable))
-    rows = docs.select(F.col("doc_id").alias("id"), text_or_empty(text_col).alias("text")).join(wanted, "id").select("id", "y", "text")
+    rows = bounded_batches(docs).select(F.col("doc_id").alias("id"), text_or_empty(text_col).alias("text")).join(wanted, "id").select("id", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | bool = True, *, l
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with its score (0 to 1, higher: label 1 likelier) as ``out_col``."""
     names = [c for c in docs.columns if c.lower() != out_col.lower()]
-    source = docs.select(*[F.col(f"`{c}`") for c in names])
+    source = bounded_batches(docs).select(*[F.col(f"`{c}`") for c in names])
     at = names.index(text_col)
     held = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields]

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, keep_rows, text_or_empty
+from .common import bounded_batches, checkpointed, keep_rows, text_or_empty
 from .components import components
 
 WORDS = 3
@@ -102,7 +102,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"id {id_type}, fp long")
+    return bounded_batches(docs).select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"id {id_type}, fp long")
 
 
 def covering_masks(radius: int, seed: int) -> list[int]:
@@ -289,7 +289,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "fp", "sketch", "bands"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text"))
+    source = bounded_batches(docs).select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text"))
     return source.mapInArrow(run, f"id {id_type}, fp long, sketch binary, bands array<long>")
 
 

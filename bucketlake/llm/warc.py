@@ -44,7 +44,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_dir
+from .common import bounded_batches, checkpointed, shared_dir
 
 MIN_DEDUP = 100
 ROLL_BYTES = 32 << 20
@@ -123,7 +123,7 @@ def write_archive(pages: DataFrame, folder: str, *, min_dedup: int = MIN_DEDUP,
     kind = pages.schema["page_id"].dataType.simpleString()
     text = [F.col(c).cast("string").alias(c) for c in ("url", "html")]
     items = (
-        pages.select("page_id", *text, F.lit(None).cast("string").alias("digest"), F.lit(None).cast(kind).alias("first"), F.lit(1).alias("kind"))
+        bounded_batches(pages).select("page_id", *text, F.lit(None).cast("string").alias("digest"), F.lit(None).cast(kind).alias("first"), F.lit(1).alias("kind"))
         .unionByName(decided.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "first", F.lit(0).alias("kind")))
     )
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
