@@ -32,22 +32,21 @@ Defined results
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import bounded_batches, text_or_empty
 from .training import labelled_sample, prior
 
 STEMS = (5, 7)
 PER_SAMPLE = 3000
-N_FEATURES = 3000
+N_FEATURES = 1500
 N_MODELS = 3
-MIN_GAP = 3.5
+MIN_GAP = 4.5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -78,29 +77,45 @@ class Model:
         return float((1 / (1 + np.exp(-np.clip(logits, -30, 30)))).mean())
 
 
-def choose_features(positive: list[set[str]], unlabelled: list[set[str]], pi: float, n: int) -> dict[str, int]:
-    in_p = Counter(f for s in positive for f in s)
-    in_u = Counter(f for s in unlabelled for f in s)
-    ranked = []
-    for f, c in in_p.items():
-        if c < 2:
-            continue
-        p, u = c / len(positive), in_u.get(f, 0) / len(unlabelled)
-        negative = max(0.0, (u - pi * p) / (1 - pi))
-        error = (p * (1 - p) / len(positive) + (u * (1 - u) + 1 / len(unlabelled)) / len(unlabelled)) ** 0.5
-        ranked.append(((p - negative) / error, f))
-    ranked.sort(key=lambda x: (-x[0], x[1]))
-    return {f: k for k, (gap, f) in enumerate(ranked[:n]) if gap > MIN_GAP}
+class Features:
+    """Numbers for features, so that a document is an array of 4-byte numbers: sets
+    of words of all sampled documents would not fit a small driver."""
 
+    def __init__(self):
+        self.number: dict[str, int] = {}
 
-def fit(positive: list[set[str]], unlabelled: list[set[str]], pi: float, *, n_features: int = N_FEATURES, n_models: int = N_MODELS, steps: int = 300, rate: float = 0.05, decay: float = 1e-5) -> Model:
-    index = choose_features(positive, unlabelled, pi, n_features)
+    def encode(self, found: Iterable[str]) -> np.ndarray:
+        return np.array([self.number.setdefault(f, len(self.number)) for f in found], np.int32)
 
-    def dense(sets: list[set[str]]) -> np.ndarray:
-        out = np.zeros((len(sets), len(index) + 1), np.float32)
+
+def choose_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: Features, pi: float, n: int) -> dict[str, int]:
+    size = len(names.number)
+    in_p, in_u = (np.bincount(np.concatenate(docs), minlength=size) for docs in (positive, unlabelled))
+    p, u = in_p / len(positive), in_u / len(unlabelled)
+    negative = np.maximum(0.0, (u - pi * p) / (1 - pi))
+    error = np.sqrt(p * (1 - p) / len(positive) + (u * (1 - u) + 1 / len(unlabelled)) / len(unlabelled))
+    gap = np.where(in_p >= 2, (p - negative) / error, -np.inf)
+    ranked = sorted((-gap[k], f) for f, k in names.number.items() if gap[k] > MIN_GAP)
+    return {f: k for k, (_, f) in enumerate(ranked[:n])}
+
+
+def fit(positive: list[Iterable[str]], unlabelled: list[Iterable[str]], pi: float, **options) -> Model:
+    names = Features()
+    return fit_encoded([names.encode(s) for s in positive], [names.encode(s) for s in unlabelled], names, pi, **options)
+
+
+def fit_encoded(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: Features, pi: float, *, n_features: int = N_FEATURES, n_models: int = N_MODELS, steps: int = 300, rate: float = 0.05, decay: float = 1e-5) -> Model:
+    index = choose_features(positive, unlabelled, names, pi, n_features)
+    column = np.full(len(names.number), -1, np.int32)
+    for f, k in index.items():
+        column[names.number[f]] = k
+
+    def dense(docs: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(docs), len(index) + 1), np.float32)
         out[:, -1] = 1  # bias
-        for k, s in enumerate(sets):
-            out[k, [index[f] for f in s if f in index]] = 1
+        for k, d in enumerate(docs):
+            at = column[d]
+            out[k, at[at >= 0]] = 1
         return out
 
     def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -149,25 +164,25 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | bool = True, *, l
     drawn = drawn.orderBy(F.xxhash64("id", F.lit("unlabelled")), "id").limit(2 * per_sample).select("id", F.lit(0).alias("kind"))
     # at most 3 * per_sample ids: a proven bound for the broadcast
     wanted = F.broadcast(toxic.union(drawn))
-    rows = docs.select(F.col("doc_id").alias("id"), text_or_empty(text_col).alias("text")).join(wanted, "id").select("id", "kind", "text")
+    rows = bounded_batches(docs).select(F.col("doc_id").alias("id"), text_or_empty(text_col).alias("text")).join(wanted, "id").select("id", "kind", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([" ".join(sorted(features(t.as_py()))) for t in batch.column(2)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), found], names=["id", "kind", "found"])
 
-    positive, unlabelled = [], []
+    positive, unlabelled, names = [], [], Features()
     for row in rows.mapInArrow(run, "id long, kind int, found string").orderBy(F.xxhash64("id"), "id", "kind", "found").toLocalIterator():
         side, most = (positive, per_sample) if row.kind else (unlabelled, 2 * per_sample)
         if len(side) < most:  # ids that repeat have several rows
-            side.append(set(row.found.split(" ")) - {""})
-    return fit(positive, unlabelled, pi, **options) if positive and unlabelled else none
+            side.append(names.encode(f for f in row.found.split(" ") if f))
+    return fit_encoded(positive, unlabelled, names, pi, **options) if positive and unlabelled else none
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with its score (0 to 1, higher: toxic likelier) as ``out_col``."""
     names = [c for c in docs.columns if c.lower() != out_col.lower()]
-    source = docs.select(*[F.col(f"`{c}`") for c in names])
+    source = bounded_batches(docs).select(*[F.col(f"`{c}`") for c in names])
     at = names.index(text_col)
     held = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields]
