@@ -16,10 +16,10 @@ Elements that occur once a page delimit slots; a slot whose content is the same
 throughout, or is mostly links, belongs to the template too.
 
 Extraction. What the markup names as navigation, header, footer, aside, form,
-advert, notice, comment, script or style is no content. Of what is left, the
-longest article or main element is the text; on pages without one, all slots that
-the template leaves open. A host with a single page has no template; then markup
-alone decides.
+advert, notice, comment, script or style is no content; on pages with text in article
+or main elements, neither is what is outside of them. Of what is left, the text is
+all that the template leaves open, in page order. A host with a single page has no
+template; then, and where the template would leave nothing, markup alone decides.
 
 Defined results
   null, empty html   empty text
@@ -185,42 +185,42 @@ def _hash(*parts: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def shown_blocks(runs: list[tuple[Node, str | None]]) -> list[tuple[Node, str]]:
+    """The blocks that the markup allows: those in article or main elements, all of
+    them; on pages without text in such elements, all that is not named as no content."""
+    shown = [(n, t) for n, t in _blocks(runs) if not n.out]
+    return [(n, t) for n, t in shown if n.main] or shown
+
+
 def page_tokens(page: str | None) -> dict[int, tuple[int, int, int, int, int]]:
     """token -> (kind, count, content hash, characters, characters in links); kind 0
-    is an element, 1 a text block."""
+    is an element with text, the page itself included, 1 a text block."""
     runs, nodes = read_page(page)
     out: dict[int, list[int]] = {}
-    content: dict[str, list] = {}
+    content: dict[str, list] = {"": [_hash("e", ""), 0, 0, 0]}
+    out[content[""][0]] = [0, 1, 0, 0, 0]
     for node in nodes:
         if not node.out:
             token = _hash("e", node.path)
             out.setdefault(token, [0, 0, 0, 0, 0])[1] += 1
             content.setdefault(node.path, [token, 0, 0, 0])
-    for node, text in _blocks(runs):
-        if node.out:
-            continue
+    for node, text in shown_blocks(runs):
         h = _hash("t", text)
         out.setdefault(_hash("t", node.path, text), [1, 0, h, len(text), len(text) * node.link])[1] += 1
         path = node.path
         while path in content:
             c = content[path]
             c[1], c[2], c[3] = _hash(str(c[1]), str(h)), c[2] + len(text), c[3] + len(text) * node.link
+            if not path:
+                break
             path = path.rpartition(">")[0]
     for token, h, chars, links in content.values():
         out[token][2:] = [h, chars, links]
-    return {k: tuple(v) for k, v in out.items()}
+    return {k: tuple(v) for k, v in out.items() if v[3]}
 
 
 def main_text(page: str | None, template: frozenset[int]) -> str:
-    runs, nodes = read_page(page)
-    shown = [(n, t) for n, t in _blocks(runs) if not n.out]
-    sizes: dict[int, int] = {}
-    for n, t in shown:
-        if n.main:
-            sizes[n.main] = sizes.get(n.main, 0) + len(t)
-    if sizes:
-        best = max(sizes, key=lambda k: (sizes[k], -k))
-        return " ".join(t for n, t in shown if n.main == best)
+    shown = shown_blocks(read_page(page)[0])
     held: dict[str, bool] = {}
 
     def fixed(path: str) -> bool:
@@ -228,7 +228,8 @@ def main_text(page: str | None, template: frozenset[int]) -> str:
             held[path] = bool(path) and (_hash("e", path) in template or fixed(path.rpartition(">")[0]))
         return held[path]
 
-    return " ".join(t for n, t in shown if not fixed(n.path) and _hash("t", n.path, t) not in template)
+    # A template that takes all of a page is none of this page.
+    return " ".join([t for n, t in shown if not fixed(n.path) and _hash("t", n.path, t) not in template] or [t for _, t in shown])
 
 
 def templates(pages: DataFrame) -> DataFrame:

@@ -50,3 +50,12 @@ def test_shared_article_text_is_kept(spark):
 
 def test_empty(spark):
     assert h.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_template_decides_inside_articles(spark):
+    rows = []
+    for i in range(12):
+        body = f"<article><p>Follow our channel</p><p>First part {i}.</p></article><article><h2>Part two</h2><p>The longer second part {i} of it.</p></article><div>outside {i}</div>"
+        rows.append((i, f"http://x.org/{i}", page(body), None))
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: f"First part {i}. The longer second part {i} of it." for i in range(12)}
