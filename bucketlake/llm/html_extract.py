@@ -8,12 +8,16 @@ hash(page, count) to an exclusive-or, so tokens of a host share a vector if, and
 for hash collisions only if, they share the sum. One aggregate with map-side
 combining thus covers all pages of all hosts, a host with a third of them included.
 
+Copies. Pages of a host whose text is the same are one page for the template: groups
+of copies are no evidence of one. All counts below are of such distinct pages.
+
 Template. An equivalence class is the tokens of a host with one vector; it is valid
 if it has two tokens or more and a tenth of the host's pages (two at least). Paths
 make valid classes nest: an element's class is inside that of its parent. Text
 blocks of valid classes that half of the pages share are part of the template.
 Elements that occur once a page delimit slots; a slot whose content is the same
-throughout, or is mostly links, belongs to the template too.
+throughout (on three pages at least, which then differ elsewhere), or is mostly links,
+belongs to the template too, unless it holds all the text of some page.
 
 Extraction. What the markup names as navigation, header, footer, aside, form,
 advert, notice, comment, script or style is no content; on pages with text in article
@@ -239,20 +243,21 @@ def templates(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for page_id, url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                host, key = host_of(url), f"{page_id}|{url}"
-                rows += [(host, token, kind, _hash(key, str(n)), n == 1, h, chars, links) for token, (kind, n, h, chars, links) in page_tokens(page).items()]
-            kinds = [pa.string(), pa.int64(), pa.int8(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
-            names = ["host", "token", "kind", "occurs", "once", "content", "chars", "links"]
+            for url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                host, found = host_of(url), page_tokens(page)
+                key, whole = str(_hash(str(sorted(found.items())))), max((v[3] for v in found.values()), default=0)
+                rows += [(host, token, kind, _hash(key, str(n)), n == 1, h, chars, links, chars == whole) for token, (kind, n, h, chars, links) in found.items()]
+            kinds = [pa.string(), pa.int64(), pa.int8(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            names = ["host", "token", "kind", "occurs", "once", "content", "chars", "links", "whole"]
             columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    tokens = bounded_batches(pages).select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(
-        run, "host string, token long, kind byte, occurs long, once boolean, content long, chars long, links long"
-    )
+    tokens = bounded_batches(pages).select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(
+        run, "host string, token long, kind byte, occurs long, once boolean, content long, chars long, links long, whole boolean"
+    ).distinct()  # what a page is told by is in ``occurs``: copies count once
     seen = tokens.groupBy("host", "token", "kind").agg(
         F.count(F.lit(1)).alias("support"), F.bit_xor("occurs").alias("vector"), F.bool_and("once").alias("once"),
-        F.approx_count_distinct("content").alias("variety"), F.sum("chars").alias("chars"), F.sum("links").alias("links"),
+        (F.min("content") == F.max("content")).alias("constant"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.bool_or("whole").alias("whole"),
     ).where("support >= 2")
     seen = checkpointed(seen)
     # The element that most pages of a host share tells how many pages it has.
@@ -262,9 +267,9 @@ def templates(pages: DataFrame) -> DataFrame:
     classes = wide.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("size")).where("size >= 2").select(F.col("host").alias("h"), F.col("vector").alias("v"))
     valid = checkpointed(wide).join(checkpointed(classes), F.col("host").eqNullSafe(F.col("h")) & (F.col("vector") == F.col("v")), "left_semi")
     fixed_text = (F.col("kind") == 1) & (F.col("support") >= F.greatest(F.lit(3.0), F.lit(FIXED) * F.col("pages")))
-    same = (F.col("support") >= 3) & (F.col("variety") <= F.greatest(F.lit(1.0), F.lit(0.1) * F.col("support")))
+    same = (F.col("support") >= 3) & F.col("constant")
     links = F.col("links") > 0.6 * F.col("chars")
-    fixed_slot = (F.col("kind") == 0) & F.col("once") & (F.col("chars") > 0) & (same | links)
+    fixed_slot = (F.col("kind") == 0) & F.col("once") & ~F.col("whole") & (same | links)
     return valid.where(fixed_text | fixed_slot).groupBy("host").agg(F.collect_set("token").alias("tokens"))
 
 

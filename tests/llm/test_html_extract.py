@@ -59,3 +59,12 @@ def test_template_decides_inside_articles(spark):
         rows.append((i, f"http://x.org/{i}", page(body), None))
     got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {i: f"First part {i}. The longer second part {i} of it." for i in range(12)}
+
+
+def test_copies_are_no_template(spark):
+    rows = [(i, f"http://same.org/{i}", page("<div><p>a</p><p>b</p></div>", f"T{i}"), None) for i in range(3)]
+    rows += [(100 + i, f"http://groups.org/{i}", page(f"<div class=top>Top</div><div class=text><p>Body {i % 8} here</p><p>more {i % 8}</p></div>"), None) for i in range(120)]
+    rows += [(300, "http://groups.org/only", page("<div class=top>Top</div><div class=text><p>unique</p></div>"), None)]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {got[i] for i in range(3)} == {"a b"}
+    assert all(got[100 + i] == f"Body {i % 8} here more {i % 8}" for i in range(120)) and got[300] == "unique"
