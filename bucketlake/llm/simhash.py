@@ -21,10 +21,12 @@ and only forest edges are emitted, never all pairs.
 
 Similarity. Texts whose five-word shingles are 0.8 alike differ in about 10 of 64
 bits. Masks that cover 10 bits would need 2^11 tables with keys of few bits, so with
-``similarity`` a second set of links is added to those of the masks: equal bands of
-a MinHash sketch (``BANDS`` of ``BAND_ROWS`` values) bring rows together, and all
-pairs of a bucket are compared by ``SKETCH`` values. A pair at 0.8 shares a band
-with probability 0.998. Large buckets are compared in pairs of chunks as well.
+``similarity`` candidates are added to those of the masks: equal bands of a MinHash
+sketch (``BANDS`` of ``BAND_ROWS`` values) bring rows together, and all pairs of a
+bucket are compared by ``SKETCH`` values, with ``SLACK`` below the threshold. A pair at
+0.8 shares a band with probability 0.998. Candidates, those of the masks too, only form
+groups; within a group rows are linked if their sets of shingles, compared whole, are
+as similar as asked for. Large buckets and groups are compared in pairs of chunks.
 
 Defined results
   null or blank text    fingerprint zero, linked like any other
@@ -57,8 +59,10 @@ SKETCH = 256
 BANDS = 21
 BAND_ROWS = 6
 SKETCH_GROUP = 512
-#: One standard error of a share of ``SKETCH`` values at 0.8.
-SLACK = 0.025
+#: Four standard errors of a share of ``SKETCH`` values at 0.8.
+SLACK = 0.1
+#: So many ids of rows in groups of candidates are broadcast; beyond, they are joined.
+BROADCAST_IDS = 100_000
 _BLOCK = 1 << 15
 
 
@@ -174,9 +178,23 @@ def _alike(share: float) -> Near:
     return lambda many, one: (many == one).mean(axis=1) >= share
 
 
-def _link_groups(rows: DataFrame, keys: list[str], near: Near, side: bool, sketch: bool = False) -> DataFrame:
+def _confirmed(marks: np.ndarray, sets: list[np.ndarray], share: float) -> Near:
+    """Compares rows, given by their place: sketches first, then whole sets."""
+    hint = _alike(share - SLACK)
+
+    def near(many: np.ndarray, one: np.ndarray) -> np.ndarray:
+        close = hint(marks[many], marks[one])
+        for k in np.flatnonzero(close):
+            close[k] = similarity_of(sets[many[k]], sets[one]) >= share
+        return close
+
+    return near
+
+
+def _link_groups(rows: DataFrame, keys: list[str], near: Near | None, side: bool, sketch: bool = False, share: float | None = None) -> DataFrame:
     """(u, v) in terms of fp: forest edges of each group of ``rows``; groups are
-    streamed in key order. Rows are compared by fp or, with ``sketch``, by sketch.
+    streamed in key order. Rows are compared by fp, with ``sketch`` by sketch, or with
+    ``share`` by sketch and set.
 
     ``side`` tells that rows carry a ``side`` column: 2 links within a chunk, 0
     and 1 are two chunks that are linked with each other.
@@ -188,7 +206,11 @@ def _link_groups(rows: DataFrame, keys: list[str], near: Near, side: bool, sketc
             values = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u2").reshape(len(ids), -1) if sketch else np.ascontiguousarray(ids)
             where = group.column("side").to_numpy() if side else None
             whole = where is None or where[0] == 2
-            a, b = _forest(ids, values, near) if whole else _across(ids, values, where == 1, near)
+            linking = near
+            if share is not None:
+                linking = _confirmed(values, [np.frombuffer(x, "<u8") for x in group.column("set").to_pylist()], share)
+                values = np.arange(len(ids))
+            a, b = _forest(ids, values, linking) if whole else _across(ids, values, where == 1, linking)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"]) if a else None
 
         kept: pa.Table | None = None
@@ -207,7 +229,7 @@ def _link_groups(rows: DataFrame, keys: list[str], near: Near, side: bool, sketc
         if kept is not None and len(kept) and (out := linked(kept)) is not None:
             yield out
 
-    shaped = rows.select(*keys, "fp", *(["sketch"] if sketch else []), *(["side"] if side else []))
+    shaped = rows.select(*keys, "fp", *(["sketch"] if sketch else []), *(["set"] if share is not None else []), *(["side"] if side else []))
     return shaped.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
 
 
@@ -273,24 +295,37 @@ def sketch_of(hashes: np.ndarray) -> tuple[bytes, list[int]]:
     return (low >> np.uint32(16)).astype("<u2").tobytes(), [k - (1 << 64) if k >> 63 else k for k in keys]
 
 
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted arrays without repeats; of empty ones, 1."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _digest(unique: np.ndarray) -> int:
+    h = xxhash.xxh64_intdigest(unique.astype("<u8").tobytes(), SEED)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, fp, sketch, bands)."""
+    """(id, fp, digest, sketch, bands); digest is a hash of the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, marks, bands = [], [], []
+            fps, digests, marks, bands = [], [], [], []
             for t in batch.column(1):
                 hashes = shingle_hashes(t.as_py(), words)
                 fps.append(fingerprint_of(hashes))
+                hashes = np.unique(hashes)
+                digests.append(_digest(hashes))
                 mark, keys = sketch_of(hashes)
                 marks.append(mark)
                 bands.append(keys)
             fps = np.array(fps, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "fp", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(digests, pa.int64()), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "fp", "digest", "sketch", "bands"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     source = bounded_batches(docs).select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {id_type}, fp long, sketch binary, bands array<long>")
+    return source.mapInArrow(run, f"id {id_type}, fp long, digest long, sketch binary, bands array<long>")
 
 
 def sketch_links(rows: DataFrame, share: float, group_limit: int = SKETCH_GROUP) -> DataFrame:
@@ -308,33 +343,71 @@ def sketch_links(rows: DataFrame, share: float, group_limit: int = SKETCH_GROUP)
     return some.union(_link_groups(units, [*keys, "a", "b"], _alike(share), side=True, sketch=True))
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, radius: int = RADIUS, similarity: float | None = None
-) -> DataFrame:
-    """(id, fp, component): one row per input row; component is the smallest id
-    that is reachable through fingerprints at most ``radius`` bits apart and, with
-    ``similarity``, through sets of shingles that are at least so similar."""
+def similar_links(docs: DataFrame, rows: DataFrame, coarse: DataFrame, id_col: str, text_col: str, words: int, share: float, group_limit: int = SKETCH_GROUP) -> DataFrame:
+    """(u, v) in terms of digest: a forest of the links between different sets of
+    shingles that are ``share`` alike, within the components ``coarse`` (node, root) of
+    the fingerprints of ``rows``."""
+    named = rows.select("id", "fp", "digest").join(coarse, rows.fp == coarse.node, "left").select("id", "digest", F.coalesce("root", "fp").alias("root"))
+    members = checkpointed(named)
+    kinds = members.select("root", "digest").distinct()
+    open_ = checkpointed(kinds.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    wanted = checkpointed(kinds.join(open_, "root").groupBy("digest").agg(F.min("root").alias("root"), F.min("n").alias("n")))
+    ids = checkpointed(members.join(open_, "root", "left_semi").select(F.col("id").alias("i")).distinct())
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column(0)]
+            arrays = [pa.array([_digest(x) for x in found], pa.int64()), pa.array([sketch_of(x)[0] for x in found], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["d", "sketch", "set"])
+
+    source = bounded_batches(docs).select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text"))
+    texts = source.join(ids, F.col("id").eqNullSafe(F.col("i")), "left_semi").select("text")
+    sets = texts.mapInArrow(run, "d long, sketch binary, set binary").groupBy("d").agg(F.first("sketch").alias("sketch"), F.first("set").alias("set"))
+    held = sets.join(wanted, F.col("d") == F.col("digest")).select("root", F.col("d").alias("fp"), "n", "sketch", "set")
+    units = _units(held, ["root"], group_limit, F.xxhash64("fp"))
+    return _link_groups(units, ["root", "a", "b"], None, side=True, sketch=True, share=share)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int, similarity: float | None) -> DataFrame:
+    """(id, fp, digest, component); without ``similarity``, digest is the fingerprint."""
     if similarity is None:
-        rows = checkpointed(fingerprints(docs, id_col, text_col, words))
+        rows = checkpointed(fingerprints(docs, id_col, text_col, words).withColumn("digest", F.col("fp")))
     else:
         rows = checkpointed(sketches(docs, id_col, text_col, words))
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("low")))
-    edges = links(nodes.select("fp"), radius)
+    edges = links(rows.select("fp").distinct(), radius)
     if similarity is not None:
-        edges = edges.union(sketch_links(rows, similarity - SLACK))
+        coarse = checkpointed(components(edges.union(sketch_links(rows, similarity - SLACK))))
+        edges = similar_links(docs, rows, coarse, id_col, text_col, words, similarity)
     roots = checkpointed(components(edges))
-    # Fingerprints that have a link, with their root; the others are alone.
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    nodes = checkpointed(rows.groupBy("digest").agg(F.min("id").alias("low")))
+    # Nodes that have a link, with their root; the others are alone.
+    named = nodes.join(roots, nodes.digest == roots.node, "left").select("digest", "low", F.coalesce("root", "digest").alias("root"))
     least = checkpointed(named.groupBy("root").agg(F.min("low").alias("component")))
-    named = checkpointed(named.join(least.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component"))
-    return rows.select("id", "fp").join(named, F.col("fp") == F.col("f")).select("id", "fp", "component")
+    named = checkpointed(named.join(least.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("digest").alias("d"), "component"))
+    return rows.select("id", "fp", "digest").join(named, F.col("digest") == F.col("d")).select("id", "fp", "digest", "component")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, radius: int = RADIUS, similarity: float | None = None
+) -> DataFrame:
+    """(id, fp, component): one row per input row; component is the smallest id
+    that is reachable through fingerprints at most ``radius`` bits apart or, with
+    ``similarity``, through sets of shingles that are at least so similar."""
+    return _grouped(docs, id_col, text_col, words, radius, similarity).select("id", "fp", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest id stays, with
     all its columns. A group whose ids are all null keeps one row per
-    fingerprint."""
-    found = near_duplicates(docs, id_col, text_col, words=words, radius=radius, similarity=similarity)
-    tag = F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("tag")
+    fingerprint, with ``similarity`` per set of shingles."""
+    found = _grouped(docs, id_col, text_col, words, radius, similarity)
+    tag = F.unhex(F.lpad(F.hex("digest"), 16, "0")).alias("tag")
     decisions = found.select("id", tag, F.col("id").eqNullSafe(F.col("component")).alias("kept"))
-    return keep_rows(docs, decisions, id_col, text_col, lambda t: fingerprint(t, words).to_bytes(8, "big"))
+
+    def tag_of(text: str | None) -> bytes:
+        value = fingerprint(text, words) if similarity is None else _digest(np.unique(shingle_hashes(text, words))) & (2**64 - 1)
+        return value.to_bytes(8, "big")
+
+    return keep_rows(docs, decisions, id_col, text_col, tag_of)

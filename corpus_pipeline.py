@@ -33,8 +33,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, linked by
-    their fingerprints or by a similarity of 0.8."""
+    """One document of each group of near-duplicates: sets of five-word shingles,
+    linked by a similarity of 0.8."""
     return simhash.drop_near_duplicates(docs, words=5, similarity=0.8)
 
 

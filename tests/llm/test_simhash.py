@@ -139,3 +139,38 @@ def test_path_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_links_are_confirmed_by_whole_sets(spark):
+    import random
+
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(4000)]
+
+    def sets(text):
+        words = text.split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    texts, want = {}, {}
+    for base in range(60):
+        words = [rng.choice(vocabulary) for _ in range(300)]
+        copy = list(words)
+        for at in range(0, 300, 300 // (6 + base % 4)):  # 0.71 to 0.83 alike
+            copy[at] = rng.choice(vocabulary)
+        texts[2 * base], texts[2 * base + 1] = " ".join(words), " ".join(copy)
+        a, b = sets(texts[2 * base]), sets(texts[2 * base + 1])
+        want |= {2 * base: 2 * base, 2 * base + 1: 2 * base + (len(a & b) / len(a | b) < 0.8)}
+    assert 10 < sum(k != v for k, v in want.items()) < 50
+    # one line very often: equal fingerprints, other sets
+    for k in range(2):
+        texts[200 + k] = "one two three four five six " * 500 + " ".join(rng.choice(vocabulary) for _ in range(40))
+        want[200 + k] = 200 + k
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.id: r.component for r in simhash.near_duplicates(df, words=5, similarity=0.8).collect()}
+    assert got == want
+    rows = simhash.sketches(df, "doc_id", "text", 5).cache()
+    one = rows.select("fp").distinct().selectExpr("fp AS node", "0L AS root")
+    names = {r.digest: r.id for r in rows.collect()}
+    for limit in (512, 7):
+        edges = simhash.similar_links(df, rows, one, "doc_id", "text", 5, 0.8, limit).collect()
+        assert {max(names[e.u], names[e.v]) for e in edges} == {k for k, v in want.items() if k != v}
