@@ -44,9 +44,9 @@ from .training import labelled_sample, prior
 
 STEMS = (5, 7)
 PER_SAMPLE = 3000
-N_FEATURES = 1500
+N_FEATURES = 3000
 N_MODELS = 3
-MIN_GAP = 4.5
+MIN_GAP = 3.5
 _WORD = re.compile(r"[^\W\d_]+")
 
 

@@ -107,3 +107,11 @@ def test_remainder_and_sample(spark):
     assert got == {i: zlib.crc32(str(i).encode()) % 3 for i in range(50)}
     labels = df.withColumn("quality", (F.col("doc_id") % 2).cast("int"))
     assert labelled_sample(labels, "quality", 10, F.lit(True)).count() == 20
+
+
+def test_rare_words_are_features():
+    words = [f"grobian{x}" for x in "abcdefg"]
+    positive = [{"=river", "=" + words[i % 7]} for i in range(91)]
+    unlabelled = [{"=river", "=" + WORDS[i % 10]} for i in range(300)]
+    model = toxicity.fit(positive, unlabelled, 0.05)
+    assert set(model.words) == set(words) and all(model.score(w) > 0.5 > model.score("river stone") for w in words)
