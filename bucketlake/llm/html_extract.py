@@ -20,8 +20,10 @@ throughout (on three pages at least, which then differ elsewhere), or is mostly
 belongs to the template too, unless it holds all the text of some page.
 
 Extraction. What the markup names as navigation, header, footer, aside, form,
-advert, notice, comment, script or style is no content; on pages with text in article
-or main elements, neither is what is outside of them. Of what is left, the text is
+advert, notice, comment, script or style is no content: by whole classes, and by ids
+where these are no slugs. Names that fit parts of a text too ("discussion") count
+outside of main elements only; inside, such parts go if the template has them. On pages with text in article
+or main elements, what is outside of them is no content either. Of what is left, the text is
 all that the template leaves open, in page order. A host with a single page has no
 template; then, and where the template would leave nothing, markup alone decides.
 
@@ -69,6 +71,14 @@ _OUT_WORDS = frozenset(
     " cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments discussion replies disqus respond"
     " related recommended share sharing social footer masthead widget toolbar skip-link form search".split()
 )
+#: With these, names of several words are still those of parts of a page ("site-footer").
+_PART_WORDS = frozenset(
+    "area bar block bottom box buttons container content global header icons inner left links list main outer page panel posts primary right secondary section site top wrap wrapper".split()
+)
+#: Names that authors give to parts of a text as well: inside of it they count for nothing.
+_WEAK_WORDS = frozenset("alert banner consent discussion form menu notice notices promotion recommended related replies respond search share sharing social subscription".split())
+#: Elements whose ids name parts of a page; those of headings, sections and text are slugs.
+_ID_TAGS = frozenset("div ul ol table header".split())
 _MAIN_WORDS = frozenset("article-body articlebody post-content entry-content article-content main-content story-body post-body story maincontent".split())
 
 
@@ -81,15 +91,23 @@ def host_of(url: str | None) -> str | None:
         return ""
 
 
-def _words_of(attributes: str) -> tuple[str, frozenset[str]]:
-    """The name by which the path knows the element, and its class and id words."""
+def _names_of(attributes: str) -> tuple[str, list[str], list[str]]:
+    """The name by which the path knows the element, its classes with its role, and
+    its ids."""
     found: list[str] = []
+    classes, ids = [], []
     for m in _NAME.finditer(attributes):
-        found += (m[2] or m[3] or m[4] or "").lower().replace("_", "-").split()
-    words = set(found)
-    for w in found:
-        words.update(w.split("-"))
-    return (re.sub(r"\d+", "0", found[0]) if found else ""), frozenset(words)
+        names = (m[2] or m[3] or m[4] or "").lower().replace("_", "-").split()
+        found += names
+        (ids if m[1].lower() == "id" else classes).extend(names)
+    return (re.sub(r"\d+", "0", found[0]) if found else ""), classes, ids
+
+
+def _is_out(name: str, inside: bool) -> bool:
+    """Whether a whole name is one of no content; ``inside`` a main element."""
+    words = {name} if name in _OUT_WORDS else set(name.split("-"))
+    named = words & _OUT_WORDS
+    return bool(named - _WEAK_WORDS if inside else named) and words <= _OUT_WORDS | _PART_WORDS
 
 
 class Node:
@@ -151,10 +169,10 @@ def read_page(page: str | None) -> tuple[list[tuple[Node, str]], list[Node]]:
                 if stack[k].tag in ("ul", "ol", "dl", "table", "select", "body"):
                     break
         up = stack[-1]
-        name, words = _words_of(m[3]) if "=" in m[3] else ("", frozenset())
+        name, classes, ids = _names_of(m[3]) if "=" in m[3] else ("", [], [])
         serial += 1
-        is_main = tag in ("article", "main") or bool(words & _MAIN_WORDS)
-        out = up.out or tag in _OUT or (tag == "header" and not up.main) or (tag not in ("html", "body", "article", "main") and not (words & _MAIN_WORDS) and bool(words & _OUT_WORDS))
+        is_main = tag in ("article", "main") or not _MAIN_WORDS.isdisjoint(classes + ids)
+        out = up.out or tag in _OUT or (tag == "header" and not up.main) or (tag not in ("html", "body") and not is_main and any(_is_out(w, up.main > 0) for w in classes + (ids if tag in _ID_TAGS else [])))
         path = f"{up.path}>{tag}.{name}" if len(stack) <= DEPTH else up.path
         node = Node(tag, path, out, up.main or (serial if is_main and not out else 0), up.link or tag == "a", serial)
         nodes.append(node)

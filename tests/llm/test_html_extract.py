@@ -68,3 +68,16 @@ def test_copies_are_no_template(spark):
     got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert {got[i] for i in range(3)} == {"a b"}
     assert all(got[100 + i] == f"Body {i % 8} here more {i % 8}" for i in range(120)) and got[300] == "unique"
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<article><section id=discussion><p>a</p></section><h2 id=social-security-reform>b</h2></article>", "a b"),
+        ("<article><div id=search-results>a</div><p class=market-share>b</p><h2 id=form-and-function>c</h2><p id=notice-period>d</p></article>", "a b c d"),
+        ("<div id=search-results>a</div><p class=market-share>b</p><h2 id=search>c</h2><div class=site-footer>no</div><div class=share>no</div>", "a b c"),
+        ("<article><p>a</p><div class='box comments'>no</div><div class=share>b</div></article>", "a b"),
+    ],
+)
+def test_slugs_are_no_boilerplate(source, text):
+    assert h.main_text(source, frozenset()) == text
