@@ -42,7 +42,8 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    found = html_extract.extract(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_slots", "by_template")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

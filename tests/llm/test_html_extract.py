@@ -1,3 +1,8 @@
+import random
+import time
+from collections import Counter, defaultdict
+from html.parser import HTMLParser
+
 import pytest
 
 from bucketlake.llm import html_extract as h
@@ -26,7 +31,7 @@ def page(body, title="T"):
     ],
 )
 def test_single_pages(source, text):
-    assert h.main_text(source, frozenset()) == text
+    assert h.main_text(source)[0] == text
 
 
 def test_template_of_a_host(spark):
@@ -80,4 +85,154 @@ def test_copies_are_no_template(spark):
     ],
 )
 def test_slugs_are_no_boilerplate(source, text):
-    assert h.main_text(source, frozenset()) == text
+    assert h.main_text(source)[0] == text
+
+
+def texts(spark, rows):
+    return {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def test_without_article_slots_decide(spark):
+    rows = [
+        (i, f"http://x.org/{i}", page(f"<div><a href=/>Home</a> <a href=/b>Blog</a></div><div><h2>Title {i}</h2><p>Words {i * 7} and more.</p></div><div>Kept by us</div>"), None)
+        for i in range(20)
+    ]
+    got = h.extract(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Title {i} Words {i * 7} and more." for i in range(20)}
+    assert all(r.by_template and r.n_slots > 0 for r in got)
+
+
+def test_misnamed_parts(spark):
+    """Names that would close nearly all text are wrong; so are main elements that
+    hold next to none of it."""
+    body = "and a long story of it, told in more words than menus have, which goes on and on."
+    rows = [(i, f"http://a.org/{i}", page(f"<nav>Home {i % 3}</nav><div class=comments><p>Story {i} {body}</p></div>"), None) for i in range(20)]
+    rows += [(100 + i, f"http://b.org/{i}", page(f"<main>Tip {i}</main><div class=x><p>Story {i} {body}</p></div>"), None) for i in range(20)]
+    rows += [(200 + i, f"http://c.org/{i}", page(f"<article><p>Story {i} {body}</p></article><div class=comments><p>Reader {i} says so</p></div>"), None) for i in range(20)]
+    got = texts(spark, rows)
+    assert all(got[i] == f"Story {i} {body}" and got[200 + i] == f"Story {i} {body}" for i in range(20))
+    assert all(got[100 + i] == f"Tip {i} Story {i} {body}" for i in range(20))
+
+
+def test_parts_of_an_article(spark):
+    rows = [
+        (i, f"http://x.org/{i}", page(f"<article><p class=ad-hoc>One {i}.</p><div class=form-factor>Two {i}.</div></article><aside>Side {i}</aside><article>Three {i}.</article>"), None)
+        for i in range(20)
+    ]
+    assert texts(spark, rows) == {i: f"One {i}. Two {i}. Three {i}." for i in range(20)}
+
+
+def test_near_copies_keep_their_article(spark):
+    same = "".join(f"<p>Paragraph {k} of the story that all of them print.</p>" for k in range(5))
+    rows = [(i, f"http://x.org/{i}", page(f"<article><h1>Same title</h1>{same}<p>end {i}</p></article>"), None) for i in range(4)]
+    want = "Same title " + " ".join(f"Paragraph {k} of the story that all of them print." for k in range(5))
+    assert texts(spark, rows) == {i: f"{want} end {i}" for i in range(4)}
+
+
+def test_rare_layout_of_a_large_host(spark):
+    rows = [(i, f"http://x.org/{i}", page(f"<div class=t><p>Text {i} one.</p></div>"), None) for i in range(300)]
+    rows += [(1000 + i, f"http://x.org/f{i}", page(f"<div class=top>Forum rules</div><div class=post><p>Post {i} here.</p></div>"), None) for i in range(15)]
+    got = texts(spark, rows)
+    assert all(got[1000 + i] == f"Post {i} here." for i in range(15)) and all(got[i] == f"Text {i} one." for i in range(300))
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<div>x" * 60_000, "</b>" * 200_000 + "x", '<a href="' * 60_000 + "x", "<a " * 100_000 + "x", "<p>" + "x y " * 2_000_000, "<" * 500_000, "<!--" * 100_000, "<p><span>" * 30_000],
+)
+def test_long_and_hostile_pages(source):
+    began = time.perf_counter()
+    h.page_tokens(source)
+    text = h.main_text(source)[0]
+    assert time.perf_counter() - began < 20
+    if source.startswith("<p>x y "):
+        assert len(text) == 8_000_000 - 1
+
+
+def test_ties_repeats_and_clashing_columns(spark):
+    rows = [(7, "http://x.org/a", page("<p>a b</p>"), None)] * 3 + [(8, "http://x.org/a", page("<p>c</p>"), None)] * 2
+    frame = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS host", "2 AS closed", "3 AS slots", "4 AS h")
+    got = Counter((r.page_id, r.text) for r in h.extract(frame).collect())
+    assert got == {(7, "a b"): 3, (8, "c"): 2}
+
+
+class Brute(HTMLParser):
+    """Paths of elements and blocks of well-formed pages of div, ul, li, a and p."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.stack, self.elements, self.blocks = [], [], []
+        self.feed(source)
+
+    def handle_starttag(self, tag, attrs):
+        self.stack.append(tag + "." + dict(attrs).get("class", ""))
+        self.elements.append(tuple(self.stack))
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        if data.strip():
+            path = tuple(self.stack)
+            self.blocks.append((tuple(x for x in path if x != "a."), data.strip(), "a." in path))
+
+
+def brute_texts(sources):
+    """The rules of the template written out with full occurrence vectors."""
+    read = {s: Brute(s) for s in set(sources)}
+    vectors, contents, linked = defaultdict(Counter), defaultdict(dict), defaultdict(Counter)
+    for s, b in read.items():
+        vectors[()][s] = 1
+        with_text = {p[:n] for p, _, _ in b.blocks for n in range(1, len(p) + 1)}
+        for e in b.elements:
+            if e in with_text:
+                vectors[e][s] += 1
+        for p, t, a in b.blocks:
+            vectors["text", p, t][s] += 1
+            for n in range(len(p) + 1):
+                contents[p[:n]].setdefault(s, []).append((p, t))
+                linked[p[:n]][a] += len(t)
+    n = len(read)
+    classes = Counter()  # an element is two tokens, its start and its end
+    for token, v in vectors.items():
+        classes[frozenset(v.items())] += 1 if token and token[0] == "text" else 2
+    closed = set()
+    for token, v in vectors.items():
+        if len(v) < max(2, min(0.1 * n, 10)) or classes[frozenset(v.items())] < 2:
+            continue
+        if token and token[0] == "text":
+            if len(v) >= max(3, 0.5 * len(vectors[token[1]])):
+                closed.add(token)
+        elif max(v.values()) == 1 and not any(contents[token][s] == contents[()][s] for s in v):
+            constant = len(v) >= 3 and len({tuple(contents[token][s]) for s in v}) == 1
+            if constant or linked[token][True] > 0.6 * sum(linked[token].values()):
+                closed.add(token)
+    out = []
+    for s in sources:
+        kept = [t for p, t, _ in read[s].blocks if not any(p[:k] in closed for k in range(len(p) + 1)) and ("text", p, t) not in closed]
+        out.append(" ".join(kept or [t for _, t, _ in read[s].blocks]))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_template_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: rng.choice("river stone paper night song glass field north".split())
+    rows, want = [], []
+    for host in range(3):
+        menu = " ".join(word() for _ in range(3))
+        sources = []
+        for _ in range(rng.choice([2, 9, 40])):
+            parts = [f"<div class='top'><p>{menu}</p></div>"]
+            if rng.random() < 0.8:
+                parts.append("<div class='list'><ul class='l'>" + "".join(f"<li><a>{word()} {rng.randrange(9)}</a></li>" for _ in range(rng.randrange(1, 4))) + "</ul></div>")
+            parts.append("<div class='body'>" + "".join(f"<p>{word()} {word()} {rng.randrange(30)}</p>" for _ in range(rng.randrange(1, 6))) + "<p>Kept by us</p></div>")
+            if rng.random() < 0.5:
+                parts.append(f"<div class='end'>{rng.choice(['Bye', 'So long'])}</div>")
+            sources.append("".join(parts))
+        sources += sources[:2]
+        found = brute_texts(sources)
+        rows += [(len(rows) + k, f"http://h{host}.org/{k}", s, None) for k, s in enumerate(sources)]
+        want += found
+    got = texts(spark, rows)
+    assert [got[k] for k in range(len(rows))] == want
