@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -19,13 +20,28 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is read from ``spark.checkpoint.dir``; only where that is unset, as in
-    tests on one machine, is a temporary folder made and set.
+    tests on one machine, is a temporary folder made and set. On a cluster it must
+    be set. The path is qualified, so that it names the same store everywhere.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if not configured and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="bucketlake-"))
-    return configured or context.getCheckpointDir()
+    return qualified(spark, configured or context.getCheckpointDir())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and host of its store; local ones as file:///."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    return re.sub(r"^file:/+", "file:///", full)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

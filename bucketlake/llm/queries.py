@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, exact_dedup, html_extract, mixing, quality, simhash, toxicity, warc
-from .common import read_table
+from .common import checkpointed, read_table
 from .training import remainder
 
 
@@ -73,7 +73,9 @@ def op9_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archive(read_table(spark, sf_dir, "pages"), warc.new_folder(spark))
     rows = warc.read_archive(spark, manifest, with_payload=False)
-    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = checkpointed(rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    warc.remove_archive(spark, manifest)
+    return found
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,6 +1,7 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Writing. Payloads are digested where they lie. Digests that occur more than once
+Writing. Payloads are digested where they lie; their bytes give the number of ranges
+(``RANGE_BYTES`` each, but one a core at least). Digests that occur more than once
 choose their response, the smallest id, in an aggregate of rows of a few dozen
 bytes; the rows that become revisits learn it by a join of such rows. The records
 are then range-sorted by id in one shuffle, together with those decisions, and each
@@ -16,8 +17,10 @@ a table: the manifest, a Parquet table, is written first under a temporary name
 renamed last, which is the commit. Readers read the files that the manifest names
 and no others, so remains of lost attempts are never read.
 
-Reading. Files are dealt out to tasks by their manifest rows and parsed as streams,
-member by member; a task holds one record at a time. Digest and length of each
+Reading. The manifest's bytes give the number of reading tasks (``READ_BYTES`` of
+files each, but ``TASKS_A_CORE`` a core or one a file at least). Files are dealt out to
+them by their manifest rows and parsed as streams, member by member; a task holds one
+record at a time. Digest and length of each
 response are checked against its headers.
 
 The archive folder can be in any store that pyarrow's file systems open (local,
@@ -29,12 +32,16 @@ Defined results
   equal ids          with equal payloads: the first is the response, others revisit
   null id            kept; such a record's id is null, and is chosen last
   null url           the record has no WARC-Target-URI
+  long payloads      whole; a record is held in memory, once packed and once not
+  ties               equal ids and payloads are ordered by url
+  extra columns      are ignored, whatever their names
   empty table        an empty manifest; reading gives no rows
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -44,10 +51,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, shared_dir
+from .common import bounded_batches, checkpointed, qualified, remove_folder, shared_dir
 
 MIN_DEDUP = 100
 ROLL_BYTES = 32 << 20
+RANGE_BYTES = 64 << 20
+READ_BYTES = 128 << 20
+TASKS_A_CORE = 2
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SCHEMA = "path string, first_id long, last_id long, records long, bytes long, sha256 string"
@@ -55,7 +65,8 @@ _READ = 1 << 20
 
 
 def open_store(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    """Of a qualified path."""
+    return pafs.FileSystem.from_uri(path)
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
@@ -113,7 +124,10 @@ def write_archive(pages: DataFrame, folder: str, *, min_dedup: int = MIN_DEDUP,
     """Write ``pages`` (page_id, url, html) below ``folder`` and return the path of
     the committed manifest."""
     spark = pages.sparkSession
-    rows = checkpointed(_digests(pages).where(f"n >= {min_dedup}"))
+    folder = qualified(spark, folder)
+    every = checkpointed(_digests(pages))
+    total = every.agg(F.sum("n")).first()[0] or 0
+    rows = every.where(f"n >= {min_dedup}")
     chosen = checkpointed(
         rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("digest").alias("d"), "first")
     )
@@ -126,7 +140,7 @@ def write_archive(pages: DataFrame, folder: str, *, min_dedup: int = MIN_DEDUP,
         bounded_batches(pages).select("page_id", *text, F.lit(None).cast("string").alias("digest"), F.lit(None).cast(kind).alias("first"), F.lit(1).alias("kind"))
         .unionByName(decided.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "first", F.lit(0).alias("kind")))
     )
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges or max(math.ceil(total / RANGE_BYTES), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
     dealt = items.repartitionByRange(n, F.col("page_id").asc_nulls_last()).sortWithinPartitions(F.col("page_id").asc_nulls_last(), "kind", "url", "html")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,8 +208,13 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
 def read_archive(spark: SparkSession, manifest: str, *, with_payload: bool = True) -> DataFrame:
     """One row per record: page_id, url, payload_bytes, payload_digest, record_type,
     refers_to, payload (of responses; null without ``with_payload``)."""
+    manifest = qualified(spark, manifest)
     folder = manifest.rsplit("/", 1)[0]
-    files = spark.read.parquet(manifest).select("path").repartition("path")
+    files = spark.read.parquet(manifest)
+    size = files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    # A number that is asked for is kept; without one, tiny rows would end in one task.
+    tasks = max(1, min(size["files"], max(math.ceil(size["bytes"] / READ_BYTES), TASKS_A_CORE * spark.sparkContext.defaultParallelism)))
+    files = files.select("path").repartitionByRange(tasks, "path")
     shape = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,3 +246,8 @@ def read_archive(spark: SparkSession, manifest: str, *, with_payload: bool = Tru
 
 def new_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+
+
+def remove_archive(spark: SparkSession, manifest: str) -> None:
+    """Delete an archive with its manifest."""
+    remove_folder(spark, qualified(spark, manifest).rsplit("/", 1)[0])

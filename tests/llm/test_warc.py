@@ -3,6 +3,7 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from bucketlake.llm import warc
 
@@ -61,3 +62,23 @@ def test_damage_is_noticed(spark, tmp_path):
 def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], SCHEMA)
     assert warc.read_archive(spark, warc.write_archive(df, f"file://{tmp_path}/e")).count() == 0
+
+
+def test_reading_is_dealt_out(spark, tmp_path):
+    """Adaptive execution must not merge the tiny manifest rows into one task."""
+    df = spark.range(400).selectExpr("id AS page_id", "'u' AS url", "repeat(sha2(cast(id AS string), 256), 40) AS html")
+    manifest = warc.write_archive(df, f"{tmp_path}/c", ranges=4, roll_bytes=4000)
+    assert spark.read.parquet(manifest).count() > 30
+    read = warc.read_archive(spark, manifest, with_payload=False)
+    by_task = [r["count"] for r in read.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(by_task) >= warc.TASKS_A_CORE * spark.sparkContext.defaultParallelism - 2 and sum(by_task) == 400 and max(by_task) < 130
+    warc.remove_archive(spark, manifest)
+    assert not os.path.exists(tmp_path / "c")
+
+
+def test_query_leaves_no_archive(spark):
+    from bucketlake.llm.common import shared_dir
+    from bucketlake.llm.queries import QUERIES
+
+    assert QUERIES["op10_warc"](spark, "/root/testdata/sf0.001").count() == 50
+    assert not [f for f in os.listdir(shared_dir(spark).removeprefix("file://")) if f.startswith("warc-")]
