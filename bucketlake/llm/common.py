@@ -6,11 +6,17 @@ import re
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bounds of what ``without_ids`` broadcasts: ids, their bytes, and bits of a filter.
+BROADCAST_IDS = 1_000_000
+BROADCAST_BYTES = 64 << 20
+FILTER_BITS = 1 << 28
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -86,19 +92,66 @@ def tagged(docs: DataFrame, text_col: str, tag_of: Callable[[str | None], bytes]
     return bounded_batches(docs).mapInArrow(run, schema)
 
 
-def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str, tag_of: Callable[[str | None], bytes]) -> DataFrame:
-    """Rows of ``docs`` that ``decisions`` (id, tag, kept: a row for each row of
-    ``docs``) keeps.
+def bitmap_of(slots: DataFrame, bits: int) -> bytes:
+    """A bitmap of ``bits`` bits with the positions ``slot`` of ``slots`` set; at most
+    ``bits / 8`` bytes reach the driver, whatever the input."""
+    per_chunk = slots.groupBy(F.expr("bitmap_bucket_number(slot + 1)").alias("chunk")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot + 1))").alias("bits"))
+    out = bytearray(bits // 8)
+    for chunk, part in per_chunk.toLocalIterator():
+        at = (chunk - 1) * len(part)
+        out[at : at + len(part)] = part[: max(0, len(out) - at)]
+    return bytes(out)
 
-    Where ids are unique this is one join on the id. Where ids repeat, rows are
-    told apart by the tag too, a function of the text, and of rows that share
-    both one stays. A null id matches a null id.
-    """
-    repeats = decisions.groupBy("id").count().where("count > 1").limit(1).count() > 0
-    kept = decisions.where("kept").select(F.col("id").alias("__keep_id"), F.col("tag").alias("__keep_tag"))
-    same_id = F.col(f"`{id_col}`").eqNullSafe(F.col("__keep_id"))
-    if not repeats:
-        return docs.join(kept, same_id, "left_semi")
-    name = fresh_name(docs, "__tag")
+
+def bits_for(n: int, a_key: int, most: int) -> int:
+    """A power of two: ``a_key`` bits for each of ``n`` keys, ``most`` at most."""
+    return min(most, 1 << max(16, (a_key * n - 1).bit_length()))
+
+
+def is_set(bitmap: bytes, slots: np.ndarray) -> np.ndarray:
+    return np.frombuffer(bitmap, np.uint8)[slots >> 3] >> (slots & 7) & 1 > 0
+
+
+def ids_repeat(docs: DataFrame, id_col: str) -> bool:
+    return docs.groupBy(F.col(f"`{id_col}`")).count().where("count > 1").limit(1).count() > 0
+
+
+def without_ids(docs: DataFrame, id_col: str, dropped: DataFrame, most: int = BROADCAST_IDS, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of ``docs`` whose id is not in ``dropped`` (id); a null id matches a null id.
+
+    Up to ``most`` ids in ``BROADCAST_BYTES`` bytes are broadcast. Beyond, a bitmap of
+    their hashes, of ``bits`` bits at most, keeps rows that are certainly not dropped
+    where they lie; only the others, those to drop and a few more, are shuffled and
+    joined. The result is the same."""
+    gone = fresh_name(docs, "__gone")
+    dropped = checkpointed(dropped.select(F.col("id").alias(gone)).distinct())
+    size = dropped.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.col(gone).cast("string")) + 16), F.lit(0)).alias("bytes")).first()
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(gone))
+    if size["n"] <= most and size["bytes"] <= BROADCAST_BYTES:
+        return docs.join(F.broadcast(dropped), same, "left_anti")
+    n_bits = bits_for(size["n"], 32, bits)
+    held = docs.sparkSession.sparkContext.broadcast(bitmap_of(dropped.select(F.xxhash64(gone).bitwiseAND(F.lit(n_bits - 1)).alias("slot")), n_bits))
+    name = fresh_name(docs, "__slot")
+    slotted = bounded_batches(docs).withColumn(name, F.xxhash64(F.col(f"`{id_col}`")).bitwiseAND(F.lit(n_bits - 1)))
+
+    def part(hit: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                chosen = is_set(held.value, batch.column(batch.num_columns - 1).to_numpy()) == hit
+                rows = batch.filter(pa.array(chosen))
+                yield pa.RecordBatch.from_arrays(rows.columns[:-1], names=rows.schema.names[:-1])
+
+        return slotted.mapInArrow(run, docs.schema)
+
+    return part(False).unionByName(part(True).join(dropped, same, "left_anti"))
+
+
+def keep_tagged(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str, tag_of: Callable[[str | None], bytes]) -> DataFrame:
+    """Rows of ``docs`` that ``decisions`` (id, tag, kept: a row for each row of
+    ``docs``) keeps, where ids repeat: rows are told apart by the tag too, a function
+    of the text, and of rows that share both one stays. A null id matches a null id."""
+    name, keep_id, keep_tag = (fresh_name(docs, n) for n in ("__tag", "__keep_id", "__keep_tag"))
+    kept = decisions.where("kept").select(F.col("id").alias(keep_id), F.col("tag").alias(keep_tag))
     rows = tagged(docs, text_col, tag_of, name)
-    return rows.join(kept, same_id & (F.col(name) == F.col("__keep_tag")), "left_semi").dropDuplicates([id_col, name]).drop(name)
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(keep_id)) & (F.col(name) == F.col(keep_tag))
+    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, name]).drop(name)

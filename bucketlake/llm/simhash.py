@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, keep_rows, text_or_empty
+from .common import bounded_batches, checkpointed, ids_repeat, keep_tagged, text_or_empty, without_ids
 from .components import components
 
 WORDS = 3
@@ -403,11 +403,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     all its columns. A group whose ids are all null keeps one row per
     fingerprint, with ``similarity`` per set of shingles."""
     found = _grouped(docs, id_col, text_col, words, radius, similarity)
+    kept = F.col("id").eqNullSafe(F.col("component"))
+    if not ids_repeat(docs, id_col):
+        return without_ids(docs, id_col, found.where(~kept))
     tag = F.unhex(F.lpad(F.hex("digest"), 16, "0")).alias("tag")
-    decisions = found.select("id", tag, F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+    decisions = checkpointed(found.select("id", tag, kept.alias("kept")))
 
     def tag_of(text: str | None) -> bytes:
         value = fingerprint(text, words) if similarity is None else _digest(np.unique(shingle_hashes(text, words))) & (2**64 - 1)
         return value.to_bytes(8, "big")
 
-    return keep_rows(docs, decisions, id_col, text_col, tag_of)
+    return keep_tagged(docs, decisions, id_col, text_col, tag_of)
