@@ -1,17 +1,22 @@
 """Quality classifier: attention-based multiple-instance learning (Ilse, Tomczak
 and Welling, "Attention-based Deep Multiple Instance Learning").
 
-A document is a bag of passages of ``PASSAGE_WORDS`` words. Every passage of the
-whole text is encoded: shares of character-class pairs, and how words look and
+A document is a bag of passages of ``PASSAGE_WORDS`` words; words of more than
+``WORD_BYTES`` bytes, as in texts without spaces, count as several. Every passage of
+the whole text is encoded: shares of character-class pairs, and how words look and
 repeat. A layer embeds the passages; gated attention, tanh(V h) * sigmoid(U h),
 weighs them; the weighted representation gives the score. All weights are learnt
-together from document labels, in numpy, on a bounded sample of labelled rows
-(``per_class`` documents of each label and ``max_passages`` passages in all, whole
-documents in hash order). Scoring streams over the documents; a text is encoded in
-blocks, so memory doesn't grow with its length beyond the text itself.
+together from document labels, in numpy, on a bounded sample of labelled rows:
+``per_class`` documents of each label, of at most ``max_bag`` passages each, and
+``max_passages`` passages in all, whole documents in hash order. Scoring streams over
+the documents; a text of more than ``BLOCK_BYTES`` is encoded in blocks, over which the
+attention's weighted mean is carried on, so memory doesn't grow with its length beyond
+the text itself.
 
 Defined results
   null, empty text   one passage of zeros, scored like any other
+  very long texts    whole, block by block
+  ties               equal texts get equal scores; a mean label of one half counts as 1
   no labels, or one  the score is the share of label 1 (0.5 without labels)
   repeated rows      each is scored; repeated labels are averaged
   empty table        empty result
@@ -33,12 +38,16 @@ from .training import labelled_sample, prior
 PASSAGE_WORDS = 48
 PER_CLASS = 1500
 MAX_PASSAGES = 120_000
+MAX_BAG = 2_000
+WORD_BYTES = 256
+#: A multiple of ``WORD_BYTES``, so that blocks cut long words where passages do.
+BLOCK_BYTES = 1 << 20
 HIDDEN = 32
 ATTENTION = 16
 _CLASSES = 13
 _SHAPES = 6
 FEATURES = _CLASSES * _CLASSES + _SHAPES
-_WORDS_AT_ONCE = PASSAGE_WORDS * 2048
+_PASSAGES_AT_ONCE = 8192
 
 
 def _byte_classes() -> np.ndarray:
@@ -83,13 +92,43 @@ def _encode_block(words: list[bytes]) -> np.ndarray:
     return np.concatenate([np.sqrt(grid), shapes], axis=1)
 
 
-def passages(text: str | None) -> np.ndarray:
+def _words(utf8: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, a block at a time; words don't depend on where blocks end."""
+    at = 0
+    while at < len(utf8):
+        end = at + BLOCK_BYTES
+        if end < len(utf8):
+            space = utf8.rfind(b" ", at, end)
+            end = space + 1 if space >= 0 else end
+        words = [w for w in utf8[at:end].split(b" ") if w]
+        if any(len(w) > WORD_BYTES for w in words):
+            words = [w[k : k + WORD_BYTES] for w in words for k in range(0, len(w), WORD_BYTES)]
+        yield words
+        at = end
+
+
+def passage_blocks(utf8: bytes) -> Iterator[np.ndarray]:
+    """Rows of features, one for each passage of the whole text, a block at a time."""
+    held, found = [], False
+    for words in _words(utf8):
+        held += words
+        if whole := len(held) // PASSAGE_WORDS * PASSAGE_WORDS:
+            yield _encode_block(held[:whole])
+            held, found = held[whole:], True
+    if held:
+        yield _encode_block(held)
+    elif not found:
+        yield np.zeros((1, FEATURES), np.float32)
+
+
+def passages(text: str | bytes | None) -> np.ndarray:
     """One row of features for each passage of the whole text."""
-    words = (text or "").encode("utf-8", "replace").split(b" ")
-    words = [w for w in words if w]
-    if not words:
-        return np.zeros((1, FEATURES), np.float32)
-    return np.concatenate([_encode_block(words[a : a + _WORDS_AT_ONCE]) for a in range(0, len(words), _WORDS_AT_ONCE)])
+    return np.concatenate(list(passage_blocks(text if isinstance(text, bytes) else (text or "").encode("utf-8", "replace"))))
+
+
+def _utf8(text: pa.Scalar) -> bytes:
+    held = text.as_buffer()
+    return held.to_pybytes() if held is not None else b""
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -109,12 +148,48 @@ class Model:
         starts = np.cumsum([0, *map(len, bags)])[:-1]
         return forward(self.weights, x, starts)["p"].astype(float)
 
+    def score_blocks(self, blocks: Iterator[np.ndarray]) -> float:
+        """The score of one document whose passages come in blocks."""
+        if self.weights is None:
+            return self.constant
+        w, top, total, z = self.weights, -np.inf, 0.0, np.zeros(HIDDEN)
+        for block in blocks:
+            h, _, _, e = attention(w, np.clip((block - self.mean) * self.scale, -8, 8))
+            now = max(top, float(e.max()))
+            share, before = np.exp(e - now), np.exp(top - now)
+            top, total, z = now, total * before + float(share.sum()), z * before + share @ h
+        return float(_sigmoid(z / total @ w["c"] + w["d"][0]))
+
+    def score_texts(self, texts: list[bytes]) -> list[float]:
+        """Short texts together, a bounded number of passages at a time, long ones alone."""
+        out, bags, at, held = [0.0] * len(texts), [], [], 0
+        for i, text in enumerate(texts):
+            if len(text) > BLOCK_BYTES:
+                out[i] = self.score_blocks(passage_blocks(text))
+                continue
+            bags.append(passages(text))
+            at.append(i)
+            held += len(bags[-1])
+            if held >= _PASSAGES_AT_ONCE:
+                for k, p in zip(at, self.scores(bags).tolist(), strict=True):
+                    out[k] = p
+                bags, at, held = [], [], 0
+        if bags:
+            for k, p in zip(at, self.scores(bags).tolist(), strict=True):
+                out[k] = p
+        return out
+
+
+def attention(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Embedding, the two factors of the gate, and the logarithm of the weight."""
+    h = np.tanh(x @ w["W"] + w["b"])
+    t, g = np.tanh(h @ w["V"]), _sigmoid(h @ w["U"])
+    return h, t, g, (t * g) @ w["w"]
+
 
 def forward(w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     sizes = np.diff(np.append(starts, len(x)))
-    h = np.tanh(x @ w["W"] + w["b"])
-    t, g = np.tanh(h @ w["V"]), _sigmoid(h @ w["U"])
-    e = (t * g) @ w["w"]
+    h, t, g, e = attention(w, x)
     e = np.exp(e - np.repeat(np.maximum.reduceat(e, starts), sizes))
     a = e / np.repeat(np.add.reduceat(e, starts), sizes)
     z = np.add.reduceat(h * a[:, None], starts)
@@ -170,11 +245,13 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, share: float | None = None,
     return Model(mean, scale, w)
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column | bool = True, *, label_col: str = "quality", per_class: int = PER_CLASS, max_passages: int = MAX_PASSAGES, text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, usable: Column | bool = True, *, label_col: str = "quality", per_class: int = PER_CLASS, max_passages: int = MAX_PASSAGES, max_bag: int = MAX_BAG, text_col: str = "text") -> Model:
     """Learn from labelled rows of ``docs`` for which ``usable`` holds.
 
-    The sample is bounded by ``per_class`` documents a class; ids that repeat in
-    ``docs`` add their rows. Features, not texts, reach the driver.
+    The sample is bounded by ``per_class`` documents a class, and in bytes by
+    ``max_bag`` and ``max_passages``; documents of more than ``max_bag`` passages take no
+    part in it. Ids that repeat in ``docs`` add their rows. Features, not texts, reach
+    the driver.
     """
     usable = F.lit(usable) if isinstance(usable, bool) else usable
     # at most 2 * per_class ids: a proven bound for the broadcast
@@ -183,9 +260,16 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | bool = True, *, l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [passages(t.as_py()) for t in batch.column(2)]
-            packed = pa.array([f.astype("<f2").tobytes() for f in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), packed], names=["id", "y", "x"])
+            for i in range(batch.num_rows):
+                bag, n = [], 0
+                for block in passage_blocks(_utf8(batch.column(2)[i])):
+                    bag.append(block.astype("<f2"))
+                    n += len(block)
+                    if n > max_bag:
+                        break
+                else:
+                    arrays = [batch.column(0).slice(i, 1).cast(pa.int64()), batch.column(1).slice(i, 1), pa.array([np.concatenate(bag).tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["id", "y", "x"])
 
     total, bags, y = 0, [], []
     for row in rows.mapInArrow(run, "id long, y int, x binary").orderBy(F.xxhash64("id"), "id", "x").toLocalIterator():
@@ -212,9 +296,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[float] = []
-            for a in range(0, batch.num_rows, 256):
-                part = batch.column(at).slice(a, 256)
-                out += held.value.scores([passages(t.as_py()) for t in part]).tolist()
+            for a in range(0, batch.num_rows, 64):
+                out += held.value.score_texts([_utf8(t) for t in batch.column(at).slice(a, 64)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*names, out_col])
 
     return source.mapInArrow(run, ", ".join([*fields, f"`{out_col}` double"]))
