@@ -17,13 +17,18 @@ p and u the shares of P and U that hold a feature, its share of the negatives is
 (u - pi p) / (1 - pi); the ``n_features`` with the largest gap in excess of its
 standard error stay; their weights are held at zero or above. ``n_models`` classifiers, each on its own bootstrap of the samples, are averaged.
 
-Bounds: ``per_sample`` documents in P and ``2 * per_sample`` in U, in hash order.
+Bounds: ``per_sample`` documents in P and ``2 * per_sample`` in U, in hash order; of
+ids that repeat, one row. Features are counted where the samples lie; the driver gets
+the ``n_features`` that are chosen and, for each sampled row, which of them it holds.
 Everything else covers all rows: the prior counts all usable labels, scoring reads
 every whole text.
 
 Defined results
   null, empty text   scored by the bias alone
   no toxic label     the score is 0 for all rows
+  very long texts    whole; the distinct words of one text are held
+  ties               of features go to the first in order; a mean label of one half
+                     counts as 1
   repeated rows      each is scored; repeated labels are averaged
   empty table        empty result
   extra columns      pass through; a column named like the score is replaced
@@ -31,15 +36,17 @@ Defined results
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_or_empty
+from .common import bounded_batches, checkpointed, text_or_empty
 from .training import labelled_sample, prior
 
 STEMS = (5, 7)
@@ -77,45 +84,32 @@ class Model:
         return float((1 / (1 + np.exp(-np.clip(logits, -30, 30)))).mean())
 
 
-class Features:
-    """Numbers for features, so that a document is an array of 4-byte numbers: sets
-    of words of all sampled documents would not fit a small driver."""
+def _gap(in_p, in_u, n_p: int, n_u: int, pi: float, root, most):
+    """How far a feature's share of P exceeds that of the negatives, in standard
+    errors; of numbers, or of columns with their functions."""
+    p, u = in_p / n_p, in_u / n_u
+    negative = most((u - pi * p) / (1 - pi))
+    return (p - negative) / root(p * (1 - p) / n_p + (u * (1 - u) + 1 / n_u) / n_u)
 
-    def __init__(self):
-        self.number: dict[str, int] = {}
 
-    def encode(self, found: Iterable[str]) -> np.ndarray:
-        return np.array([self.number.setdefault(f, len(self.number)) for f in found], np.int32)
+def fit(positive: list[set[str]], unlabelled: list[set[str]], pi: float, *, n_features: int = N_FEATURES, **options) -> Model:
+    """As ``train`` does, from features in memory."""
+    in_p, in_u = Counter(f for s in positive for f in s), Counter(f for s in unlabelled for f in s)
+    gaps = {f: _gap(n, in_u[f], len(positive), len(unlabelled), pi, math.sqrt, lambda x: max(0.0, x)) for f, n in in_p.items() if n >= 2}
+    chosen = sorted((-g, f) for f, g in gaps.items() if g > MIN_GAP)[:n_features]
+    index = {f: k for k, (_, f) in enumerate(chosen)}
+    rows = lambda docs: [sorted(index[f] for f in s if f in index) for s in docs]
+    return fit_rows(rows(positive), rows(unlabelled), index, pi, **options)
 
 
-def choose_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: Features, pi: float, n: int) -> dict[str, int]:
-    size = len(names.number)
-    in_p, in_u = (np.bincount(np.concatenate(docs), minlength=size) for docs in (positive, unlabelled))
-    p, u = in_p / len(positive), in_u / len(unlabelled)
-    negative = np.maximum(0.0, (u - pi * p) / (1 - pi))
-    error = np.sqrt(p * (1 - p) / len(positive) + (u * (1 - u) + 1 / len(unlabelled)) / len(unlabelled))
-    gap = np.where(in_p >= 2, (p - negative) / error, -np.inf)
-    ranked = sorted((-gap[k], f) for f, k in names.number.items() if gap[k] > MIN_GAP)
-    return {f: k for k, (_, f) in enumerate(ranked[:n])}
+def fit_rows(positive: list[list[int]], unlabelled: list[list[int]], index: dict[str, int], pi: float, *, n_models: int = N_MODELS, steps: int = 300, rate: float = 0.05, decay: float = 1e-5) -> Model:
+    """The classifiers, from the chosen features that each row holds."""
 
-
-def fit(positive: list[Iterable[str]], unlabelled: list[Iterable[str]], pi: float, **options) -> Model:
-    names = Features()
-    return fit_encoded([names.encode(s) for s in positive], [names.encode(s) for s in unlabelled], names, pi, **options)
-
-
-def fit_encoded(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: Features, pi: float, *, n_features: int = N_FEATURES, n_models: int = N_MODELS, steps: int = 300, rate: float = 0.05, decay: float = 1e-5) -> Model:
-    index = choose_features(positive, unlabelled, names, pi, n_features)
-    column = np.full(len(names.number), -1, np.int32)
-    for f, k in index.items():
-        column[names.number[f]] = k
-
-    def dense(docs: list[np.ndarray]) -> np.ndarray:
+    def dense(docs: list[list[int]]) -> np.ndarray:
         out = np.zeros((len(docs), len(index) + 1), np.float32)
         out[:, -1] = 1  # bias
         for k, d in enumerate(docs):
-            at = column[d]
-            out[k, at[at >= 0]] = 1
+            out[k, d] = 1
         return out
 
     def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -150,9 +144,9 @@ def fit_encoded(positive: list[np.ndarray], unlabelled: list[np.ndarray], names:
     return Model(index, stacked[:, :-1], stacked[:, -1])
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column | bool = True, *, label_col: str = "toxic", per_sample: int = PER_SAMPLE, text_col: str = "text", **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, usable: Column | bool = True, *, label_col: str = "toxic", per_sample: int = PER_SAMPLE, n_features: int = N_FEATURES, text_col: str = "text", **options) -> Model:
     """Learn from the labelled rows for which ``usable`` holds and from unlabelled
-    text. Only features of the bounded samples reach the driver."""
+    text. Only chosen features of the bounded samples reach the driver."""
     usable = F.lit(usable) if isinstance(usable, bool) else usable
     none = Model({}, np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
     pi = prior(labels, label_col, usable)
@@ -168,15 +162,30 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | bool = True, *, l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([" ".join(sorted(features(t.as_py()))) for t in batch.column(2)], pa.string())
+            found = pa.array([sorted(features(t.as_py())) for t in batch.column(2)], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), found], names=["id", "kind", "found"])
 
-    positive, unlabelled, names = [], [], Features()
-    for row in rows.mapInArrow(run, "id long, kind int, found string").orderBy(F.xxhash64("id"), "id", "kind", "found").toLocalIterator():
-        side, most = (positive, per_sample) if row.kind else (unlabelled, 2 * per_sample)
-        if len(side) < most:  # ids that repeat have several rows
-            side.append(names.encode(f for f in row.found.split(" ") if f))
-    return fit_encoded(positive, unlabelled, names, pi, **options) if positive and unlabelled else none
+    # One row an id, and none that changes when a lost one is made again.
+    sampled = rows.mapInArrow(run, "id long, kind int, found array<string>").groupBy("id", "kind").agg(F.min_by("found", F.xxhash64("found")).alias("found"))
+    sampled = checkpointed(sampled)
+    sizes = {r["kind"]: r["count"] for r in sampled.groupBy("kind").count().collect()}
+    if not sizes.get(1) or not sizes.get(0):
+        return none
+    counted = sampled.select("kind", F.explode("found").alias("f")).groupBy("f").agg(F.sum("kind").alias("in_p"), F.sum(1 - F.col("kind")).alias("in_u"))
+    gap = _gap(F.col("in_p"), F.col("in_u"), sizes[1], sizes[0], pi, F.sqrt, lambda x: F.greatest(F.lit(0.0), x))
+    chosen = counted.where("in_p >= 2").withColumn("gap", gap).where(F.col("gap") > MIN_GAP).orderBy(F.desc("gap"), "f").limit(n_features).collect()
+    index = {r["f"]: k for k, r in enumerate(chosen)}
+    held = docs.sparkSession.sparkContext.broadcast(index)
+
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [sorted(held.value[f] for f in found.as_py() if f in held.value) for found in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32()))], names=["id", "kind", "at"])
+
+    sides: dict[int, list[list[int]]] = {0: [], 1: []}
+    for row in sampled.mapInArrow(columns, "id long, kind int, at array<int>").orderBy(F.xxhash64("id"), "id", "kind").collect():  # at most 3 * per_sample
+        sides[row["kind"]].append(row["at"])
+    return fit_rows(sides[1], sides[0], index, pi, **options)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:

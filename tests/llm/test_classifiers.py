@@ -115,3 +115,45 @@ def test_rare_words_are_features():
     unlabelled = [{"=river", "=" + WORDS[i % 10]} for i in range(300)]
     model = toxicity.fit(positive, unlabelled, 0.05)
     assert set(model.words) == set(words) and all(model.score(w) > 0.5 > model.score("river stone") for w in words)
+
+
+def test_features_are_chosen_alike_where_they_lie(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(WORDS + ["grobian", "grobianer", "lump"] * (i % 4 == 0)) for _ in range(30))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 300, 2)], "doc_id long, toxic int")
+    far = toxicity.train(docs, table)
+    positive = [toxicity.features(t) for i, t in rows if i % 4 == 0]
+    near = toxicity.fit(positive, [toxicity.features(t) for _, t in rows], 0.5)
+    assert far.words.keys() == near.words.keys() >= {"grobian", "lump"} and far.stems.keys() == near.stems.keys()
+    assert toxicity.train(docs, table, n_features=1).weights.shape[1] == 1
+
+
+def test_blocks_of_long_texts():
+    """Passages, and scores, don't depend on where blocks end; memory does not grow with
+    texts without spaces."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    w = {k: rng.normal(size=s).astype(np.float32) * 0.3 for k, s in {"W": (quality.FEATURES, 32), "b": 32, "V": (32, 16), "U": (32, 16), "w": 16, "c": 32, "d": 1}.items()}
+    model = quality.Model(np.zeros(quality.FEATURES), np.ones(quality.FEATURES), w)
+    text = ("Some words, and MORE of them. " * 9 + "x" * 1000 + " ").encode() * 2500
+    whole = quality.passages(text)
+    assert len(whole) == -(-(9 * 6 + 4) * 2500 // quality.PASSAGE_WORDS)
+    assert model.score_texts([text, b"", text[:500]]) == pytest.approx([*model.scores([whole]), *model.scores([quality.passages(b"")]), *model.scores([quality.passages(text[:500])])], rel=1e-4)
+    for long in ("\u4e2d\u6587".encode() * 8_000_000, b"x;" * 25_000_000, b"a b " * 12_500_000):
+        tracemalloc.start()
+        assert 0 <= model.score_texts([long])[0] <= 1
+        assert tracemalloc.get_traced_memory()[1] < 150 << 20  # beside the text
+        tracemalloc.stop()
+
+
+def test_documents_over_the_bound_of_the_sample(spark):
+    rng = random.Random(1)
+    rows = [(i, (clean(rng, 60) if i % 2 else "AAA!!! " * 60)) for i in range(60)] + [(100, "word " * 48 * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(100, 0)], "doc_id long, quality int")
+    model = quality.train(docs, table, max_bag=30)
+    assert model.weights is not None
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert len(got) == 61 and got[1] > 0.5 > got[2]
