@@ -29,7 +29,9 @@ Defined results
   repeated ids     as candidates, each row counts; as a query, one of the rows
                    (the smallest bytes); rows with the query's id are its own
   ties             go to the smaller id
-  fewer than k     all candidates
+  fewer than k     all candidates; a query for which the tests leave fewer than there
+                   are is answered again from all lists, without tests
+  extra columns    are ignored, whatever their names
   empty table      empty result
 """
 
@@ -51,6 +53,8 @@ QUERY_ROWS = 512
 MAX_LISTS = 4096
 COLUMNS = 16
 EPSILON = 2.1
+DENSE = 0.1
+_PAIRS = 1 << 14
 
 
 def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -141,33 +145,46 @@ class Index:
         return best - 1e-4 * (1 + np.abs(best))  # the sample is held in single precision
 
 
-def scan_unit(block_ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, rotation: np.ndarray, k: int, epsilon: float = EPSILON) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, ids, scores) of up to k nearest of the block for each query."""
+def scan_unit(block_ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, rotation: np.ndarray, k: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, ids, scores) of up to k nearest of the block for each query.
+
+    All pairs of a unit are taken a column block at a time: by a matrix product while
+    many are alive, pair by pair once fewer than ``DENSE`` are. A pair that a test
+    abandons is neither scored nor tested again."""
     turned, asked = block.astype(np.float32) @ rotation, queries.astype(np.float32) @ rotation
-    sizes, lengths = (block**2).sum(axis=1), (queries**2).sum(axis=1)
     dims = block.shape[1]
-    columns = [np.ascontiguousarray(turned[:, a : a + COLUMNS]) for a in range(0, dims, COLUMNS)]
-    squares = [(c**2).sum(axis=1) for c in columns]
-    # The first column block is read for all queries of the unit at once.
-    head = squares[0] + (asked[:, :COLUMNS] ** 2).sum(axis=1)[:, None] - 2 * (asked[:, :COLUMNS] @ columns[0].T)
-    for q in range(len(queries)):
-        limit = sizes + lengths[q] - 2 * floors[q]  # squared distance to beat
-        partial, alive = head[q], np.arange(len(block))
-        for b in range(len(columns)):
-            if b:
-                part = asked[q, b * COLUMNS : (b + 1) * COLUMNS]
-                partial = partial + squares[b][alive] + part @ part - 2 * (columns[b][alive] @ part)
-            seen = min(dims, (b + 1) * COLUMNS)
-            if seen < dims:
-                stay = partial * (dims / seen) <= np.maximum(limit[alive], 0) * (1 + epsilon / seen**0.5) ** 2 + 1e-6
-                alive, partial = alive[stay], partial[stay]
-        alive = alive[block_ids[alive] != query_ids[q]]
-        scores = np.einsum("ij,j->i", block[alive], queries[q])
-        good = scores >= floors[q]
-        alive, scores = alive[good], scores[good]
-        order = np.lexsort((block_ids[alive], -scores))[:k]
-        if len(order):
-            yield int(query_ids[q]), block_ids[alive][order], scores[order]
+    # The squared distance that a pair has to beat.
+    limit = np.maximum((block**2).sum(axis=1)[None, :] + (queries**2).sum(axis=1)[:, None] - 2 * floors[:, None], 0).astype(np.float32)
+    alive = query_ids[:, None] != block_ids[None, :]
+    partial = np.zeros(limit.shape, np.float32)
+    at: tuple[np.ndarray, np.ndarray] | None = None  # places of the pairs, once they are few
+    for start in range(0, dims, COLUMNS):
+        seen = min(dims, start + COLUMNS)
+        c, q = turned[:, start:seen], asked[:, start:seen]
+        if at is None:
+            partial += (q**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None, :] - 2 * (q @ c.T)
+        else:
+            partial += ((q[at[0]] - c[at[1]]) ** 2).sum(axis=1)
+        # After all columns nothing is estimated; what is left is for single precision.
+        doubt = (1 + epsilon / seen**0.5) ** 2 if seen < dims else 1.0
+        stay = partial * np.float32(dims / seen) <= limit * np.float32(doubt) + np.float32(1e-4) * (1 + limit)
+        if at is None:
+            alive &= stay
+            if np.count_nonzero(alive) < DENSE * alive.size or seen == dims:
+                at = np.nonzero(alive)
+                partial, limit = partial[at], limit[at]
+        else:
+            at = at[0][stay], at[1][stay]
+            partial, limit = partial[stay], limit[stay]
+    q, c = at
+    scores = np.concatenate([np.einsum("ij,ij->i", block[c[a : a + _PAIRS]], queries[q[a : a + _PAIRS]]) for a in range(0, max(1, len(q)), _PAIRS)])
+    good = scores >= floors[q]
+    q, c, scores = q[good], c[good], scores[good]
+    order = np.lexsort((block_ids[c], -scores, q))
+    q, c, scores = q[order], c[order], scores[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    best = rank < k
+    return query_ids[q[best]], block_ids[c[best]], scores[best]
 
 
 def _packed(rows: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
@@ -232,50 +249,60 @@ def search(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector
     counts = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}  # at most MAX_LISTS
     per_block = max(64, block_bytes // (8 * dims))
     blocks = {c: -(-n // per_block) for c, n in counts.items()}
-    n_blocks = F.element_at(F.create_map(*[F.lit(v) for kv in blocks.items() for v in kv]), F.col("list"))
-    stored = _packed(placed.withColumn("block", F.pmod(F.xxhash64("id", "vec"), n_blocks).cast("int")), ["list", "block"], [])
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = index.value
-        size = np.array([counts.get(c, 0) for c in range(len(held.centres))])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = part.column(0).to_numpy()
-                vecs = part.column(1).to_pylist()
-                x = np.frombuffer(b"".join(vecs), "<f8").reshape(-1, dims)
-                order = np.argsort(held.distances(x), axis=1, kind="stable")
-                probed = np.zeros(order.shape, bool)
-                for q in range(len(ids)):
-                    enough = int(np.searchsorted(np.cumsum(size[order[q]]), k + 1)) + 1
-                    probed[q, order[q][: max(held.probes, enough)]] = True
-                floors = held.floors(ids, x, probed)
-                out = [(int(ids[q]), vecs[q], int(c), float(floors[q])) for q in range(len(ids)) for c in np.flatnonzero(probed[q] & (size > 0))]
-                columns = list(zip(*out, strict=True)) or [[], [], [], []]
-                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "vec", "list", "floor"])
-
-    queries = rows.where(is_query).groupBy("id").agg(F.min("vec").alias("vec"))
-    n_queries = queries.count()
-    groups = max(1, -(-n_queries // query_rows))
-    asked = queries.mapInArrow(probe, "id long, vec binary, list int, floor double").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
-    asked = _packed(asked, ["list", "part"], ["floor"])
-    # Each pack of queries goes to every block of its list: a unit is a block and a pack.
-    asked = asked.select("list", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), "floor", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"))
-    units = stored.join(asked.hint("shuffle_merge"), ["list", "block"]).select("ids", "vecs", "q_ids", "q_vecs", "floor")
+    sized = F.broadcast(spark.createDataFrame(list(blocks.items()), "l int, blocks int"))  # at most MAX_LISTS rows
+    dealt = placed.join(sized, F.col("list") == F.col("l")).withColumn("block", F.pmod(F.xxhash64("id", "vec"), F.col("blocks")).cast("int"))
+    stored = checkpointed(_packed(dealt, ["list", "block"], []))
+
+    def probed(queries: DataFrame, everything: bool) -> DataFrame:
+        """(id, vec, list, blocks, floor): the lists that a query probes."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = index.value
+            size = np.array([counts.get(c, 0) for c in range(len(held.centres))])
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    ids, vecs = part.column(0).to_numpy(), part.column(1).to_pylist()
+                    x = np.frombuffer(b"".join(vecs), "<f8").reshape(-1, dims)
+                    order = np.argsort(held.distances(x), axis=1, kind="stable")
+                    chosen = np.full(order.shape, everything)
+                    for q in range(len(ids)):
+                        enough = int(np.searchsorted(np.cumsum(size[order[q]]), k + 1)) + 1
+                        chosen[q, order[q][: max(held.probes, enough)]] = True
+                    floors = np.full(len(ids), -np.inf) if everything else held.floors(ids, x, chosen)
+                    q, c = np.nonzero(chosen & (size > 0))
+                    arrays = [pa.array(ids[q]), pa.array([vecs[i] for i in q], pa.binary()), pa.array(c.astype(np.int32)), pa.array([blocks[i] for i in c.tolist()], pa.int32()), pa.array(floors[q])]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["id", "vec", "list", "blocks", "floor"])
+
+        return queries.mapInArrow(run, "id long, vec binary, list int, blocks int, floor double")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = index.value
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, vecs, q_ids, q_vecs, floor = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in enumerate(("<i8", "<f8", "<i8", "<f8", "<f8")))
-                found = list(scan_unit(ids, vecs.reshape(-1, dims), q_ids, q_vecs.reshape(-1, dims), floor, held.rotation, held.k))
-                if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found])), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))],
-                        names=["query_id", "vec_id", "score"],
-                    )
-
-    found = units.mapInArrow(scan, "query_id long, vec_id long, score double")
+                found = scan_unit(ids, vecs.reshape(-1, dims), q_ids, q_vecs.reshape(-1, dims), floor, held.rotation, held.k)
+                yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=["query_id", "vec_id", "score"])
+
+    def found_for(queries: DataFrame, n: int, everything: bool) -> DataFrame:
+        groups = max(1, -(-n // query_rows))
+        part = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
+        asked = _packed(probed(queries, everything).withColumn("part", part), ["list", "part", "blocks"], ["floor"])
+        # Each pack of queries goes to every block of its list: a unit is a block and a pack.
+        asked = asked.select("list", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), "floor", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        units = stored.join(asked.hint("shuffle_merge"), ["list", "block"]).select("ids", "vecs", "q_ids", "q_vecs", "floor")
+        return units.mapInArrow(scan, "query_id long, vec_id long, score double")
+
+    queries = checkpointed(rows.where(is_query).groupBy("id").agg(F.min("vec").alias("vec")))
+    found = checkpointed(found_for(queries, queries.count(), False))
+    # Tests may abandon so many that fewer than k are left: such queries, rare ones, are
+    # answered by all lists without any test.
+    own = rows.join(queries.select("id"), "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    have = found.groupBy(F.col("query_id").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    wanted = F.least(F.lit(k), F.lit(n_rows) - F.col("own"))
+    short = checkpointed(own.join(have, F.col("id") == F.col("h"), "left").where(F.coalesce("n", F.lit(0)) < wanted).select("id"))
+    if n_short := short.count():
+        again = found_for(queries.join(short, "id", "left_semi"), n_short, True)
+        found = found.join(short, F.col("query_id") == F.col("id"), "left_anti").unionByName(again)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -55,3 +55,48 @@ def test_small_and_odd_rows(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert ann.search(df, F.col("id") % 20 == 0).count() == 0
+
+
+def test_scan_of_a_unit():
+    """Without doubt the scan is brute force; with it, abandoned pairs are few."""
+    rng = np.random.default_rng(2)
+    block, queries = rng.normal(size=(500, 50)), rng.normal(size=(40, 50))
+    ids, asked = np.arange(500), np.arange(480, 520)
+    rotation = np.linalg.qr(rng.normal(size=(50, 50)))[0].astype(np.float32)
+    scores = queries @ block.T
+    scores[asked[:, None] == ids[None, :]] = -np.inf
+    floors = np.sort(scores, axis=1)[:, -15] - 1e-9
+    want = {(int(asked[q]), int(ids[c])) for q in range(40) for c in np.flatnonzero(scores[q] >= floors[q])}
+    for given in (floors, np.full(40, -np.inf)):
+        q, c, found = ann.scan_unit(ids, block, asked, queries, given, rotation, 15, epsilon=100.0)
+        assert set(zip(q.tolist(), c.tolist(), strict=True)) == want
+        assert np.allclose(found, [queries[a - 480] @ block[b] for a, b in zip(q, c, strict=True)], rtol=1e-12)
+    q, c, _ = ann.scan_unit(ids, block, asked, queries, floors, rotation, 15)
+    assert len(q) >= 0.9 * len(want) and set(zip(q.tolist(), c.tolist(), strict=True)) <= want
+    assert len(ann.scan_unit(ids, block, asked, queries, np.full(40, 1e9), rotation, 15)[0]) == 0
+
+
+def test_queries_left_short_are_answered_again(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1, 0.0) for i, v in enumerate(x)], SCHEMA)
+    monkeypatch.setattr(ann.Index, "floors", lambda self, ids, queries, probed: np.full(len(ids), 15.0))  # few reach this
+    got = ann.search(df, F.col("id") % 20 == 0, k=20).collect()
+    want = brute(list(range(600)), x.astype(float), range(0, 600, 20), 20)
+    by = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        by.setdefault(r.query_id, []).append(r.vec_id)
+    assert by == {q: [i for i, _ in v] for q, v in want.items()}
+
+
+def test_repeats_ties_and_clashing_columns(spark):
+    rows = [(20 * i, [1.0, float(i % 3)], 1, 2, 3, 4) for i in range(30)] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int, vec int, list int, n int")
+    got = ann.search(df, F.col("id") % 20 == 0, k=3).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        by.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q, found in by.items():
+        want = sorted((-(1.0 + (i % 3) * (q // 20 % 3)), 20 * i) for i in range(30) for _ in range(2) if 20 * i != q)[:3]
+        assert found == [(i, -s) for s, i in want]
+    assert len(by) == 30
