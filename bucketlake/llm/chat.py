@@ -4,9 +4,18 @@ transcript by Viterbi, then turns are rendered canonically.
 A row's text is cut where a line opens with a speaker marker ("User:", "### Answer",
 "<|assistant|>", ...). Each part is an observation: its marker, its number of words,
 its lines, whether it asks, whether it opens the conversation. The states are the
-roles. The model's tables are counts over all labelled rows, smoothed; without
-labels, fixed ones that expect user and assistant to alternate. A row's own role
-label is never an observation.
+roles. The model's tables are counts over all labelled rows that may be learnt from,
+smoothed; without labels, fixed ones that expect user and assistant to alternate. A
+row's own role label is never an observation, and callers can hold out conversations,
+so that accuracy is measured on rows that the tables have not counted.
+
+Rendering. A turn is "<|role|>", its contents line by line, "<|end|>"; parts with
+equal roles that follow each other are one turn. ``rendered`` is a row by itself;
+``piece`` is its part of the conversation's transcript: the pieces of a conversation,
+in the order of its rows, one after the other, are the transcript, in which turns go on
+over rows. So a conversation of any length needs no task that holds it. Where content
+has "<|", with any number of backslashes between the two, one more is put there, so
+that no content can pose as a turn; ``unescaped`` takes it out again.
 
 Scale. Rows are range-sorted by conversation and turn, so one conversation may lie
 in many partitions. Viterbi is a product of matrices in the (max, +) algebra, which
@@ -18,10 +27,14 @@ whole sequence, ties included: they go to the earlier role of ``ROLES``.
 
 Defined results
   null text          one empty part
+  very long texts    whole; a partition's part of a conversation is held while it is
+                     decoded, nine numbers and the content of each part
   null conv_id       such rows form a conversation
   null turn          comes first in its conversation
   repeated rows      are parts one after the other, ordered by text
   unknown labels     don't count
+  ties               equal paths: the earlier role of ``ROLES``
+  extra columns      are ignored, whatever their names
   empty table        empty result
 """
 
@@ -32,7 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
@@ -103,11 +116,11 @@ def model_from(start: np.ndarray, step: np.ndarray, emit: list[np.ndarray]) -> M
 DEFAULT = model_from(np.zeros(3), np.zeros((3, 3)), [np.zeros((3, n)) for n in SIZES])
 
 
-def _sorted(rows: DataFrame, partitions: int | None) -> DataFrame:
+def _sorted(rows: DataFrame, partitions: int | None, learnt: Column) -> DataFrame:
     """(conv_id, turn, text, role) in range order, checkpointed: its partitions and
-    their order are fixed from here on."""
+    their order are fixed from here on. Roles that may not be learnt from are null."""
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shaped = rows.select("conv_id", "turn", F.col("text").cast("string").alias("text"), F.col("role").cast("string").alias("role"))
+    shaped = rows.select("conv_id", "turn", F.col("text").cast("string").alias("text"), F.when(learnt, F.col("role")).cast("string").alias("role"))
     order = ["conv_id", "turn", F.xxhash64("text"), "text", "role"]
     return checkpointed(shaped.repartitionByRange(n, *order[:3]).sortWithinPartitions(*order))
 
@@ -244,24 +257,46 @@ def viterbi(matrices: list[np.ndarray], start: int | None, end: int | None) -> l
     return path[::-1]
 
 
-def render(parts: list[tuple[str, str]]) -> str:
-    """Canonical turns: equal neighbours are joined."""
-    merged: list[list[str]] = []
+_POSE = re.compile(r"<(\\*)\|")
+_POSED = re.compile(r"<\\(\\*)\|")
+
+
+def escaped(content: str) -> str:
+    return _POSE.sub(r"<\1\\|", content)
+
+
+def unescaped(content: str) -> str:
+    return _POSED.sub(r"<\1|", content)
+
+
+def pieces(parts: list[tuple[str, str]], before: str | None, last: bool) -> str:
+    """What the parts of a row add to a transcript that is in a turn of ``before``, or in
+    none; ``last`` closes it."""
+    out = []
     for role, content in parts:
-        if merged and merged[-1][0] == role:
-            merged[-1][1] = f"{merged[-1][1]}\n{content}".strip("\n")
-        else:
-            merged.append([role, content])
-    return "".join(f"<|{role}|>\n{content}\n<|end|>\n" for role, content in merged)
+        if role != before:
+            out.append(f"<|end|>\n<|{role}|>\n" if before else f"<|{role}|>\n")
+        if content:
+            out.append(escaped(content) + "\n")
+        before = role
+    return "".join(out) + ("<|end|>\n" if last else "")
+
+
+def render(parts: list[tuple[str, str]]) -> str:
+    """Canonical turns of a row by itself: equal neighbours are joined."""
+    return pieces(parts, None, True)
 
 
-def format_chats(rows: DataFrame, *, model: Model | None = None, partitions: int | None = None) -> DataFrame:
-    """(conv_id, turn, role, n_parts, rendered) of each row of ``rows`` (conv_id,
+def format_chats(rows: DataFrame, *, model: Model | None = None, partitions: int | None = None, learnt: Column | bool = True) -> DataFrame:
+    """(conv_id, turn, role, n_parts, rendered, piece) of each row of ``rows`` (conv_id,
     turn, text, and role as a label, which may be null). ``role`` is that of the
-    row's first part. The model is counted from the labels where it is None."""
-    ordered = _sorted(rows if "role" in rows.columns else rows.withColumn("role", F.lit(None).cast("string")), partitions)
+    row's first part. The model is counted where it is None, from the labels of rows for
+    which ``learnt`` holds."""
+    learnt = F.lit(learnt) if isinstance(learnt, bool) else learnt
+    ordered = _sorted(rows if "role" in rows.columns else rows.withColumn("role", F.lit(None).cast("string")), partitions, learnt)
     borders = _borders(ordered)
     opens = {b["part"]: not k or borders[k - 1]["last"] != b["first"] for k, b in enumerate(borders)}
+    goes_on = {b["part"]: k + 1 < len(borders) and borders[k + 1]["first"] == b["last"] for k, b in enumerate(borders)}
     model = model or train(ordered, borders)
     before, after = _border_states(borders, _ends(ordered, model, opens))
     fields = [f"{c} {ordered.schema[c].dataType.simpleString()}" for c in ("conv_id", "turn")]
@@ -274,28 +309,29 @@ def format_chats(rows: DataFrame, *, model: Model | None = None, partitions: int
         matrices: list[np.ndarray] = []
         start = before.get(part)
 
-        def flush(end: int | None) -> pa.RecordBatch:
+        def flush(end: int | None, more: bool) -> pa.RecordBatch:
             path = iter(viterbi(matrices, start, end))
-            out = []
-            for conv, turn, contents in held:
+            out, at = [], ROLES[start] if start is not None else None
+            for k, (conv, turn, contents) in enumerate(held):
                 roles = [(ROLES[next(path)], c) for c in contents]
-                out.append((conv, turn, roles[0][0], len(roles), render(roles)))
+                out.append((conv, turn, roles[0][0], len(roles), render(roles), pieces(roles, at, k == len(held) - 1 and not more)))
+                at = roles[-1][0]
             columns = list(zip(*out, strict=True))
-            kinds = [schema.field(0).type, schema.field(1).type, pa.string(), pa.int32(), pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["conv_id", "turn", "role", "n_parts", "rendered"])
+            kinds = [schema.field(0).type, schema.field(1).type, pa.string(), pa.int32(), pa.string(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["conv_id", "turn", "role", "n_parts", "rendered", "piece"])
 
         fresh = opens.get(part, True)
         for batch in batches:
             schema = batch.schema
             for conv, turn, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 if held and conv != held[-1][0]:
-                    yield flush(None)
+                    yield flush(None, False)
                     held, matrices, start, fresh = [], [], None, True
                 found = list(_matrix(model, text, fresh))
                 matrices += [m for m, _ in found]
                 held.append((conv, turn, [c for _, c in found]))
                 fresh = False
         if held:
-            yield flush(after.get(part))
+            yield flush(after.get(part), goes_on.get(part, False))
 
-    return ordered.mapInArrow(run, ", ".join([*fields, "role string, n_parts int, rendered string"]))
+    return ordered.mapInArrow(run, ", ".join([*fields, "role string, n_parts int, rendered string, piece string"]))

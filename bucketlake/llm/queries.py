@@ -14,7 +14,9 @@ from .training import remainder
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(read_table(spark, sf_dir, "conversations"))
+    """A third of the conversations is held out: their roles are not counted."""
+    held_out = remainder("conv_id", 3) == 1
+    return chat.format_chats(read_table(spark, sf_dir, "conversations"), learnt=~held_out).withColumn("held_out", held_out)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
