@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bucketlake.llm import bpe, exact_dedup, mixing, quality, simhash
-from bucketlake.llm.common import read_table, shared_dir
+from bucketlake.llm.common import read_table, remove_folder, shared_dir
 from bucketlake.llm.training import remainder
 
 #: Classifiers, and draws by hash, have no SQL form.
@@ -57,11 +57,15 @@ STAGES = [("quality", good), ("exact_dedup", distinct), ("near_dedup", apart), (
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; each stage is written to the shared folder and read
-    again, so that a lost executor costs one stage at most."""
-    docs = read_table(spark, sf_dir, "documents")
+    again, so that a lost executor costs one stage at most. What a stage wrote is
+    removed once its successor has been written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        before = path
     return docs
