@@ -62,11 +62,14 @@ def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for v in batch.column(1):
-                x = v.as_py()
-                a = None if x is None or not x or None in x else np.array(x, "<f8")
-                out.append(a.tobytes() if a is not None and np.isfinite(a).all() and a.any() else None)
+            lists = batch.column(1)
+            x = lists.flatten().fill_null(np.nan).to_numpy(zero_copy_only=False).astype("<f8", copy=False)
+            lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(int)
+            ends = np.cumsum(lengths)
+            begins = ends - lengths
+            odd, some = (np.concatenate([[0], np.cumsum(m)]) for m in (~np.isfinite(x), x != 0))
+            good = (odd[ends] == odd[begins]) & (some[ends] > some[begins])
+            out = [x[a:b].tobytes() if g else None for a, b, g in zip(begins.tolist(), ends.tolist(), good.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "vec"])
 
     rows = table.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).where("id IS NOT NULL")
