@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -56,6 +57,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffles and checkpoints that nothing refers to
+    any more. It learns of them when the driver collects garbage, which a driver with
+    little to do may not do for half an hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have, whatever its letter case."""
     taken = {c.lower() for c in df.columns}

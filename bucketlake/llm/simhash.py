@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, ids_repeat, keep_tagged, text_or_empty, without_ids
+from .common import bounded_batches, checkpointed, ids_repeat, keep_tagged, release, text_or_empty, without_ids
 from .components import components
 
 WORDS = 3
@@ -380,7 +380,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, radius: in
     if similarity is not None:
         coarse = checkpointed(components(edges.union(sketch_links(rows, similarity - SLACK))))
         edges = similar_links(docs, rows, coarse, id_col, text_col, words, similarity)
+        release(docs.sparkSession)
     roots = checkpointed(components(edges))
+    del edges
+    release(docs.sparkSession)
     nodes = checkpointed(rows.groupBy("digest").agg(F.min("id").alias("low")))
     # Nodes that have a link, with their root; the others are alone.
     named = nodes.join(roots, nodes.digest == roots.node, "left").select("digest", "low", F.coalesce("root", "digest").alias("root"))
