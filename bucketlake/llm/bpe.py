@@ -20,7 +20,10 @@ arrays of them. Decoding concatenates the raw bytes of the ids.
 Defined results
   null text       encoded as the empty text: no ids
   empty text      no ids, empty bytes
+  very long text  whole, in chunks; its ids are one value
+  ties            of merges go to the lower rank, then to the left, as in the library
   repeated rows   each has its row
+  extra columns   pass through; those named like the result are replaced by it
   empty table     empty result
   unknown id      decoding raises ValueError naming it
   special tokens  are ordinary text
@@ -91,7 +94,8 @@ class Encoder:
         low = "".join(re.escape(chr(c)) for c in sorted(self.gaps) if c < 0x10000)
         self.odd = re.compile(f"[{low}\U00010000-\U0010ffff]") if self.gaps else re.compile(r"(?!)")
         self.narrow = min(self.gaps, default=0x110000) > 0xFF
-        self.core = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        # Pieces are cut here; to this encoder each of them is one match.
+        self.core = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
         self.pieces: dict[str, bytes] = {}
 
     # -- pre-tokenising -------------------------------------------------
@@ -173,8 +177,7 @@ class Encoder:
     def piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            raw = piece.encode("utf-8", "replace")
-            ids = np.array(self.core._encode_single_piece(raw), "<u4").tobytes()
+            ids = np.array(self.core.encode_ordinary(piece), "<u4").tobytes()
             if len(piece) <= 64:
                 if len(self.pieces) >= _CACHE_PIECES:
                     self.pieces.clear()

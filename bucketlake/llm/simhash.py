@@ -31,10 +31,12 @@ as similar as asked for. Large buckets and groups are compared in pairs of chunk
 Defined results
   null or blank text    fingerprint zero, linked like any other
   one or two words      the whole sequence is the single shingle
+  very long texts       whole; one text's hashes are held, 8 bytes a word
+  ties                  a bit that exactly half of the hashes set is 0
   repeated rows         each has its row; they share fingerprint and component
   null id               never a component's id unless all its ids are null
   empty table           empty result
-  extra columns         are ignored
+  extra columns         are ignored, whatever their names; dropping keeps them
 """
 
 from __future__ import annotations

@@ -61,3 +61,17 @@ def test_empty(spark):
     vocabulary = bpe.Vocabulary(spark, PATH, public_tokenizers.PATTERN)
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.decode(bpe.encode(df, vocabulary), vocabulary).count() == 0
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    vocabulary = bpe.Vocabulary(spark, PATH, public_tokenizers.PATTERN)
+    long = "words and " * 40_000
+    rows = [(1, "same text"), (1, "same text"), (2, "same text"), (None, long), (None, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 AS `__text`", "'x' AS `IDS`", "'y' AS `decoded`", "3 AS `__chunk_`")
+    got = bpe.decode(bpe.encode(df, vocabulary), vocabulary)
+    assert [c for c in got.columns if c.lower() not in ("ids", "decoded")] == ["doc_id", "__text", "__chunk_"]
+    found = got.collect()
+    assert sorted(str(r.doc_id) for r in found) == ["1", "1", "2", "None", "None"] and all(r["__text"] == 7 for r in found)
+    for r in found:
+        text = long if r.doc_id is None else "same text"
+        assert ids(r.ids) == WHOLE.encode_ordinary(text) and bytes(r.decoded).decode() == text

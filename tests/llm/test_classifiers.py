@@ -157,3 +157,16 @@ def test_documents_over_the_bound_of_the_sample(spark):
     assert model.weights is not None
     got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
     assert len(got) == 61 and got[1] > 0.5 > got[2]
+
+
+def test_toxicity_of_long_repeated_and_clashing_rows(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(WORDS + ["grobian"] * (3 * (i % 4 == 0))) for _ in range(60))) for i in range(200)]
+    long = clean(rng, 300_000)
+    extra = [(900, long), (901, long + " grobian"), (901, long + " grobian"), (902, None)]
+    docs = spark.createDataFrame(rows + extra, "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS kind", "3 AS found", "4 AS SCORE")
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int"))
+    scored = toxicity.score(docs, model)
+    assert scored.columns == ["doc_id", "text", "id", "kind", "found", "score"]
+    got = [(r.doc_id, r.score) for r in scored.collect() if r.doc_id >= 900]
+    assert len(got) == 4 and all((s > 0.5) == (i == 901) for i, s in got) and len({s for i, s in got if i == 901}) == 1

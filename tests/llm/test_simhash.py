@@ -174,3 +174,16 @@ def test_links_are_confirmed_by_whole_sets(spark):
     for limit in (512, 7):
         edges = simhash.similar_links(df, rows, one, "doc_id", "text", 5, 0.8, limit).collect()
         assert {max(names[e.u], names[e.v]) for e in edges} == {k for k, v in want.items() if k != v}
+
+
+def test_long_texts_ties_and_clashing_columns(spark):
+    long = " ".join(f"w{k % 5000}" for k in range(300_000))
+    rows = [(1, long), (2, long + " end"), (3, long.upper()), (4, "a b c"), (4, "a b c"), (5, "a b c d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS fp", "3 AS component", "4 AS digest", "5 AS root")
+    got = {(r.id, r.component) for r in simhash.near_duplicates(df).collect()}
+    assert {(1, 1), (2, 1), (3, 1), (4, 4)} <= got
+    assert simhash.fingerprint(long) == simhash.fingerprint(long.upper()) == brute_fingerprint(long)
+    # two shingles that differ in a bit set it in half of the hashes: 0
+    assert simhash.fingerprint("a b c d") == brute_fingerprint("a b c d") == simhash.fingerprint("a b c") & simhash.fingerprint("b c d")
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} >= {1, 4}
