@@ -8,7 +8,7 @@ spreads them has a plain exchange on both sides and Spark can split a hub.
 
 Steps are many and, in most inputs, small: a checkpoint has a partition for
 ``EDGES`` edges (one a core at least), not one for each shuffle partition of the
-session, which keeps files few; and what earlier steps left is released.
+session, which keeps files few.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, release
+from .common import checkpointed
 
 EDGES = 100_000
 
@@ -60,7 +60,6 @@ def components(edges: DataFrame) -> DataFrame:
         parts = max(edges.sparkSession.sparkContext.defaultParallelism, seen[0] // EDGES + 1)
         step = _small_star(_large_star(step, parts), parts)
         now = _signature(step)
-        release(edges.sparkSession)
         if now == seen:
             break
         seen = now
