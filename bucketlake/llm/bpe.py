@@ -12,7 +12,11 @@ a worker.
 
 Chunks of long texts are spread over tasks: the text is cut in the scan, chunks
 are dealt out by (row, chunk), neighbours exchange only the boundaries of their
-overlaps. Texts of a single chunk never leave the scan's task.
+overlaps, and each chunk encodes the pieces from where it met its left neighbour to
+where it meets its right one. The task that ends up with a row only puts the ids of its
+chunks one after the other. Rows in which two neighbours don't meet, rare ones, are
+stitched and encoded in order by one task. Texts of a single chunk never leave the
+scan's task.
 
 Ids travel as packed little-endian unsigned 32-bit integers; ``unpack_ids`` makes
 arrays of them. Decoding concatenates the raw bytes of the ids.
@@ -43,8 +47,9 @@ import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, fresh_name, text_or_empty
+from .common import bounded_batches, checkpointed, text_or_empty, with_columns
 
 CHUNK = 1 << 16
 OVERLAP = 512
@@ -241,18 +246,20 @@ class Vocabulary:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_col: str = "ids", *, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """The columns of ``docs`` but the text, and the packed ids as ``out_col``."""
-    kept = [c for c in docs.columns if c.lower() not in (text_col.lower(), out_col.lower())]
-    own = docs.select(*[F.col(f"`{c}`") for c in kept])
-    text = fresh_name(own, "__text")
-    source = bounded_batches(docs).select(*[F.col(f"`{c}`") for c in kept], text_or_empty(text_col).alias(text))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields]
-    out_schema = ", ".join([*fields, f"`{out_col}` binary"])
+    if not 0 < overlap < chunk:
+        raise ValueError("chunks are longer than their overlap")
+    names = [c for c in docs.columns if c.lower() not in (text_col.lower(), out_col.lower())]
+    # Under names of our own, whatever those of the columns are.
+    kept, text, result = [f"k{i}" for i in range(len(names))], "text", "ids"
+    source = bounded_batches(docs).select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, kept, strict=True)], text_or_empty(text_col).alias(text))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
+    out_schema = ", ".join([*fields, f"{result} binary"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocabulary.encoder()
         for batch in batches:
             ids = pa.array([coder.encode(t.as_py(), chunk, overlap) for t in batch.column(batch.num_columns - 1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*kept, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*kept, result])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each chunk a row: row number, chunk number, text with its overlap. The
@@ -277,14 +284,78 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_
     def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, n = vocabulary.encoder(), len(kept)
         for columns, ids in _stitched(coder, batches, n, chunk):
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([ids], pa.binary())], names=[*kept, out_col])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([ids], pa.binary())], names=[*kept, result])
 
-    parts_schema = ", ".join([*fields, "__row long, __chunk int", f"`{text}` string", "__last boolean"])
-    size = F.length(F.col(f"`{text}`"))
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The boundaries of a chunk's overlaps, in the coordinates of the right chunk:
+        for the pair with its right neighbour, and for that with its left one."""
+        for batch in batches:
+            rows, pairs, lefts, rights = [], [], [], []
+            for row, k, last, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                cuts = np.frombuffer(packed, "<i4")
+                if not last:
+                    cuts = cuts[: max(1, len(cuts) - 2)]
+                    tail = cuts[np.searchsorted(cuts, chunk) :] - chunk
+                    rows, pairs, lefts, rights = [*rows, row], [*pairs, k], [*lefts, tail.astype("<i4").tobytes()], [*rights, None]
+                if k:
+                    head = cuts[: np.searchsorted(cuts, overlap, side="right")]
+                    rows, pairs, lefts, rights = [*rows, row], [*pairs, k - 1], [*lefts, None], [*rights, head.astype("<i4").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(pairs, pa.int32()), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())], names=["__r", "__k", "left", "right"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Where the two chunks of a pair first agree; -1 if they don't."""
+        for batch in batches:
+            found = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                common = np.intersect1d(np.frombuffer(x or b"", "<i4"), np.frombuffer(y or b"", "<i4"))
+                found.append(int(common[0]) if len(common) else -1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int32())], names=["__r", "__k", "__meet"])
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ids of each chunk's own pieces."""
+        coder, n = vocabulary.encoder(), len(kept)
+        for batch in batches:
+            ids = []
+            for i in range(batch.num_rows):
+                part, cuts = batch.column(n + 2)[i].as_py(), np.frombuffer(batch.column(n + 4)[i].as_py(), "<i4")
+                begin, end = batch.column(n + 5)[i].as_py() or 0, batch.column(n + 6)[i].as_py()
+                stop = len(part) if end is None else end + chunk
+                own = cuts[np.searchsorted(cuts, begin) : np.searchsorted(cuts, stop, side="right")].tolist()
+                ids.append(coder.encode_between(part, own))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 2], pa.array(ids, pa.binary())], names=[*kept, "__row", "__chunk", result])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, row, columns, out = len(kept), None, [], []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                now = batch.column(n)[i].as_py()
+                if now != row:
+                    if row is not None:
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array([b"".join(out)], pa.binary())], names=[*kept, result])
+                    row, columns, out = now, [batch.column(c).slice(i, 1) for c in range(n)], []
+                out.append(batch.column(n + 2)[i].as_py())
+        if row is not None:
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([b"".join(out)], pa.binary())], names=[*kept, result])
+
+    parts_schema = ", ".join([*fields, "__row long, __chunk int", f"{text} string", "__last boolean"])
+    size = F.length(text)
     long = source.where(size > chunk).withColumn("__row", F.monotonically_increasing_id())
     pieces = long.mapInArrow(cut, parts_schema).repartition("__row", "__chunk").mapInArrow(pretokenise, parts_schema + ", __cuts binary")
-    joined = pieces.repartition("__row").sortWithinPartitions("__row", "__chunk").mapInArrow(stitch, out_schema)
-    return source.where(size <= chunk).mapInArrow(whole, out_schema).union(joined)
+    sides = pieces.select("__row", "__chunk", "__last", "__cuts").mapInArrow(edges, "__r long, __k int, left binary, right binary")
+    pairs = sides.groupBy("__r", "__k").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    meets = checkpointed(pairs.mapInArrow(meet, "__r long, __k int, __meet int"))
+    apart = checkpointed(meets.where("__meet < 0").select(F.col("__r").alias("__a")).distinct())
+    begins = meets.select(F.col("__r").alias("__b"), (F.col("__k") + 1).alias("__bk"), F.col("__meet").alias("__begin"))
+    ends = meets.select(F.col("__r").alias("__e"), F.col("__k").alias("__ek"), F.col("__meet").alias("__end"))
+    met = pieces.join(apart, F.col("__row") == F.col("__a"), "left_anti")
+    met = met.join(begins, (F.col("__row") == F.col("__b")) & (F.col("__chunk") == F.col("__bk")), "left").join(ends, (F.col("__row") == F.col("__e")) & (F.col("__chunk") == F.col("__ek")), "left")
+    ids_schema = ", ".join([*fields, "__row long, __chunk int", f"{result} binary"])
+    parted = met.drop("__b", "__bk", "__e", "__ek").mapInArrow(between, ids_schema)
+    out = source.where(size <= chunk).mapInArrow(whole, out_schema).unionByName(parted.repartition("__row").sortWithinPartitions("__row", "__chunk").mapInArrow(gathered, out_schema))
+    if apart.limit(1).count():
+        rest = pieces.join(apart, F.col("__row") == F.col("__a"), "left_semi").repartition("__row").sortWithinPartitions("__row", "__chunk")
+        out = out.unionByName(rest.mapInArrow(stitch, out_schema))
+    return out.toDF(*names, out_col)
 
 
 def _stitched(coder: Encoder, batches: Iterator[pa.RecordBatch], n: int, chunk: int) -> Iterator[tuple[list, bytes]]:
@@ -340,15 +411,12 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_co
     names = [c for c in rows.columns if c.lower() != out_col.lower()]
     source = bounded_batches(rows).select(*[F.col(f"`{c}`") for c in names])
     at = names.index(ids_col)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
         coder = vocabulary.decoder()
-        for batch in batches:
-            raw = pa.array([None if (p := x.as_py()) is None else coder.decode(p) for x in batch.column(at)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, raw], names=[*names, out_col])
+        return [pa.array([None if (p := x.as_py()) is None else coder.decode(p) for x in batch.column(at)], pa.binary())]
 
-    return source.mapInArrow(run, ", ".join([*fields, f"`{out_col}` binary"]))
+    return with_columns(source, [T.StructField(out_col, T.BinaryType())], make)
 
 
 def n_ids(ids_col: str) -> Column:

@@ -88,17 +88,23 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
-def tagged(docs: DataFrame, text_col: str, tag_of: Callable[[str | None], bytes], name: str) -> DataFrame:
-    """``docs`` with a binary column that is a function of the text."""
-    at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
+def with_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+    """``df`` with the columns that ``make`` gives for a batch, after its own. Within,
+    columns go by place, so their names may be anything, dots included."""
+    every = [*df.schema.fields, *fields]
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(every)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tags = pa.array([tag_of(t.as_py()) for t in batch.column(at)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, tags], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch)], names=schema.names)
+
+    return df.toDF(*schema.names[: len(df.columns)]).mapInArrow(run, schema).toDF(*(f.name for f in every))
 
-    return bounded_batches(docs).mapInArrow(run, schema)
+
+def tagged(docs: DataFrame, text_col: str, tag_of: Callable[[str | None], bytes], name: str) -> DataFrame:
+    """``docs`` with a binary column that is a function of the text."""
+    at = docs.columns.index(text_col)
+    return with_columns(bounded_batches(docs), [T.StructField(name, T.BinaryType())], lambda batch: [pa.array([tag_of(t.as_py()) for t in batch.column(at)], pa.binary())])
 
 
 def bitmap_of(slots: DataFrame, bits: int) -> bytes:
@@ -140,19 +146,21 @@ def without_ids(docs: DataFrame, id_col: str, dropped: DataFrame, most: int = BR
         return docs.join(F.broadcast(dropped), same, "left_anti")
     n_bits = bits_for(size["n"], 32, bits)
     held = docs.sparkSession.sparkContext.broadcast(bitmap_of(dropped.select(F.xxhash64(gone).bitwiseAND(F.lit(n_bits - 1)).alias("slot")), n_bits))
-    name = fresh_name(docs, "__slot")
-    slotted = bounded_batches(docs).withColumn(name, F.xxhash64(F.col(f"`{id_col}`")).bitwiseAND(F.lit(n_bits - 1)))
+    # Columns go by place, under names of our own.
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
+    slot = F.xxhash64(F.col(f"`{id_col}`")).bitwiseAND(F.lit(n_bits - 1))
+    slotted = bounded_batches(docs).select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, schema.names, strict=True)], slot.alias("slot"))
 
     def part(hit: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 chosen = is_set(held.value, batch.column(batch.num_columns - 1).to_numpy()) == hit
                 rows = batch.filter(pa.array(chosen))
-                yield pa.RecordBatch.from_arrays(rows.columns[:-1], names=rows.schema.names[:-1])
+                yield pa.RecordBatch.from_arrays(rows.columns[:-1], names=schema.names)
 
-        return slotted.mapInArrow(run, docs.schema)
+        return slotted.mapInArrow(run, schema).toDF(*docs.columns)
 
-    return part(False).unionByName(part(True).join(dropped, same, "left_anti"))
+    return part(False).union(part(True).join(dropped, same, "left_anti"))
 
 
 def keep_tagged(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str, tag_of: Callable[[str | None], bytes]) -> DataFrame:

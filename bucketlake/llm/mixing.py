@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, checkpointed, fresh_name
+from .common import bounded_batches, checkpointed, fresh_name, with_columns
 
 TOPICS = 8
 DIMS = 64
@@ -142,17 +142,6 @@ def learn_topics(profiles: DataFrame, topics: int = TOPICS, rounds: int = TOPIC_
     return model
 
 
-def _mapped(docs: DataFrame, fields: list[T.StructField], make: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
-    """``docs`` with the columns that ``make`` gives for a batch."""
-    schema = T.StructType([*docs.schema.fields, *fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch)], names=[*batch.schema.names, *(f.name for f in fields)])
-
-    return docs.mapInArrow(run, schema)
-
-
 def _profiled(docs: DataFrame, text_col: str, name: str, tokens: str) -> DataFrame:
     """``docs`` with profile and number of words."""
     at = docs.columns.index(text_col)
@@ -161,7 +150,7 @@ def _profiled(docs: DataFrame, text_col: str, name: str, tokens: str) -> DataFra
         found = [profile(t.as_py()) for t in batch.column(at)]
         return [pa.array([p.tobytes() for p, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())]
 
-    return _mapped(bounded_batches(docs), [T.StructField(name, T.BinaryType()), T.StructField(tokens, T.LongType())], make)
+    return with_columns(bounded_batches(docs), [T.StructField(name, T.BinaryType()), T.StructField(tokens, T.LongType())], make)
 
 
 def _with_topic(rows: DataFrame, name: str, topic: str, model: Topics) -> DataFrame:
@@ -172,7 +161,7 @@ def _with_topic(rows: DataFrame, name: str, topic: str, model: Topics) -> DataFr
         x = np.frombuffer(b"".join(batch.column(at).to_pylist()), np.uint8).reshape(-1, DIMS)
         return [pa.array(held.value.of(x).astype(np.int32) if len(x) else [], pa.int32())]
 
-    return _mapped(rows, [T.StructField(topic, T.IntegerType())], make)
+    return with_columns(rows, [T.StructField(topic, T.IntegerType())], make)
 
 
 def target_shares(totals: dict, target: dict | None, flatten: float, rest: float) -> dict:

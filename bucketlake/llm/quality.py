@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, text_or_empty
+from .common import bounded_batches, text_or_empty, with_columns
 from .training import labelled_sample, prior
 
 PASSAGE_WORDS = 48
@@ -291,13 +292,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     source = bounded_batches(docs).select(*[F.col(f"`{c}`") for c in names])
     at = names.index(text_col)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[float] = []
-            for a in range(0, batch.num_rows, 64):
-                out += held.value.score_texts([_utf8(t) for t in batch.column(at).slice(a, 64)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*names, out_col])
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        out: list[float] = []
+        for a in range(0, batch.num_rows, 64):
+            out += held.value.score_texts([_utf8(t) for t in batch.column(at).slice(a, 64)])
+        return [pa.array(out, pa.float64())]
 
-    return source.mapInArrow(run, ", ".join([*fields, f"`{out_col}` double"]))
+    return with_columns(source, [T.StructField(out_col, T.DoubleType())], make)

@@ -45,8 +45,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, checkpointed, text_or_empty
+from .common import bounded_batches, checkpointed, text_or_empty, with_columns
 from .training import labelled_sample, prior
 
 STEMS = (5, 7)
@@ -194,11 +195,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     source = bounded_batches(docs).select(*[F.col(f"`{c}`") for c in names])
     at = names.index(text_col)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = pa.array([held.value.score(t.as_py()) for t in batch.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*names, out_col])
-
-    return source.mapInArrow(run, ", ".join([*fields, f"`{out_col}` double"]))
+    return with_columns(source, [T.StructField(out_col, T.DoubleType())], lambda batch: [pa.array([held.value.score(t.as_py()) for t in batch.column(at)], pa.float64())])

@@ -42,14 +42,13 @@ def test_long_rows_are_stitched_across_tasks(spark, chunk, overlap):
     texts = [None, "", *long_texts()]
     df = spark.createDataFrame([(i, t, "e", i if i % 2 else None) for i, t in enumerate(texts)], "doc_id long, text string, ids string, __row long")
     vocabulary = bpe.Vocabulary(spark, PATH, public_tokenizers.PATTERN)
-    df = df.withColumnRenamed("__row", "extra")
     rows = bpe.decode(bpe.encode(df, vocabulary, chunk=chunk, overlap=overlap), vocabulary).collect()
     assert len(rows) == len(texts)
     for r in rows:
         text = texts[r.doc_id] or ""
         assert ids(r.ids) == WHOLE.encode_ordinary(text)
         assert bytes(r.decoded) == text.encode()
-        assert r.extra == (r.doc_id if r.doc_id % 2 else None)
+        assert r["__row"] == (r.doc_id if r.doc_id % 2 else None)
 
 
 def test_unknown_id():
@@ -67,11 +66,25 @@ def test_repeated_rows_and_clashing_columns(spark):
     vocabulary = bpe.Vocabulary(spark, PATH, public_tokenizers.PATTERN)
     long = "words and " * 40_000
     rows = [(1, "same text"), (1, "same text"), (2, "same text"), (None, long), (None, long)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 AS `__text`", "'x' AS `IDS`", "'y' AS `decoded`", "3 AS `__chunk_`")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 AS `__text`", "'x' AS `IDS`", "'y' AS `decoded`", "3 AS `__chunk`", "4 AS `__row`", "5 AS k0", "6 AS `a.b`")
     got = bpe.decode(bpe.encode(df, vocabulary), vocabulary)
-    assert [c for c in got.columns if c.lower() not in ("ids", "decoded")] == ["doc_id", "__text", "__chunk_"]
+    assert [c for c in got.columns if c.lower() not in ("ids", "decoded")] == ["doc_id", "__text", "__chunk", "__row", "k0", "a.b"]
     found = got.collect()
     assert sorted(str(r.doc_id) for r in found) == ["1", "1", "2", "None", "None"] and all(r["__text"] == 7 for r in found)
     for r in found:
         text = long if r.doc_id is None else "same text"
         assert ids(r.ids) == WHOLE.encode_ordinary(text) and bytes(r.decoded).decode() == text
+
+
+def test_chunks_of_a_text_are_encoded_apart(spark):
+    """Only rows whose chunks don't meet go through one task."""
+    text = " ".join(f"word{k}" for k in range(4000))
+    df = spark.createDataFrame([(1, text), (2, "a" * 9000), (3, text + "!" * 3000 + text)], "doc_id long, text string")
+    vocabulary = bpe.Vocabulary(spark, PATH, public_tokenizers.PATTERN)
+    for only, plans in (("doc_id = 1", 0), ("doc_id > 1", 1)):
+        out = bpe.encode(df.where(only), vocabulary, chunk=1000, overlap=50)
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow stitch(") == plans
+        for r in out.collect():
+            assert ids(r.ids) == WHOLE.encode_ordinary({1: text, 2: "a" * 9000, 3: text + "!" * 3000 + text}[r.doc_id])
+    with pytest.raises(ValueError):
+        bpe.encode(df, vocabulary, chunk=10, overlap=10)

@@ -50,7 +50,7 @@ def test_each_step_takes_the_survivors_of_the_last(spark):
 
 def test_without_ids_beyond_the_broadcast(spark):
     rows = [(i if i else None, f"t{i}", i) for i in range(3000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, __slot int").repartition(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.slot` int").repartition(7)
     for gone in ([], [None, 5, 77], list(range(1, 2900))):
         dropped = spark.createDataFrame([(g,) for g in gone], "id long")
         want = sorted(r[1] for r in rows if r[0] not in gone)

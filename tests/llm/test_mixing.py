@@ -166,7 +166,7 @@ def test_odd_rows(spark):
     long = "word " * 300_000
     rows = [(1, None, None, None, 1), (1, None, None, None, 1), (2, "", "en", "s", 1), (3, long, "en", "s", 1), (None, "x y", "en", "s", 1), (4, "x y", "en", "s", 1), (4, "x y", "en", "s", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, __profile int")
-    df = df.withColumnsRenamed({}).withColumn("__p", df["__profile"]).withColumn("__s", df["__profile"])
+    df = df.withColumn("dotted.name", df["__profile"]).withColumn("__p", df["__profile"]).withColumn("__s", df["__profile"])
     got = mixing.mixture(df, fraction=1.0)
     kept = mixing.sample(df, fraction=1.0)
     assert kept.columns == df.columns

@@ -14,7 +14,7 @@ from bucketlake.llm.training import remainder
 from .test_mixing import brute_mix, brute_topics
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id int, score double, tag string, `__tag` int, topic int, ids int, digest string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id int, score double, tag string, `__tag` int, topic int, ids int, `dotted.name` string"
 STAGES = dict(corpus_pipeline.STAGES)
 
 
