@@ -24,7 +24,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     model = quality.train(docs, read_table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
     name = "__quality_score"
-    return quality.score(docs, model, out_col=name).where(F.col(name) >= 0.5).select(*docs.columns)
+    return quality.score(docs, model, out_col=name).where(F.col(name) >= 0.5).select(*(f"`{c}`" for c in docs.columns))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
