@@ -236,30 +236,41 @@ class Vocabulary:
         return self._coder("decode", lambda: Decoder(self.held.value[0]))
 
     def _coder(self, kind: str, make: Callable):
-        """A worker keeps the coder of one vocabulary, and of one kind: workers of a
-        chain of tasks each have their own."""
+        """A worker keeps the coders of one vocabulary."""
         if (kind, self.key) not in _CODERS:
-            _CODERS.clear()
+            for other in [k for k in _CODERS if k[1] != self.key]:
+                del _CODERS[other]
             _CODERS[kind, self.key] = make()
         return _CODERS[kind, self.key]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_col: str = "ids", *, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """The columns of ``docs`` but the text, and the packed ids as ``out_col``."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_col: str = "ids", *, decoded_col: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """The columns of ``docs`` but the text, and the packed ids as ``out_col``. With
+    ``decoded_col`` the ids are decoded too, as ``decode`` would after it, by the same
+    workers: a chain of two operators would hold twice as many."""
     if not 0 < overlap < chunk:
         raise ValueError("chunks are longer than their overlap")
-    names = [c for c in docs.columns if c.lower() not in (text_col.lower(), out_col.lower())]
+    results = [out_col, *([decoded_col] if decoded_col else [])]
+    names = [c for c in docs.columns if c.lower() not in (text_col.lower(), *(r.lower() for r in results))]
     # Under names of our own, whatever those of the columns are.
     kept, text, result = [f"k{i}" for i in range(len(names))], "text", "ids"
     source = bounded_batches(docs).select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, kept, strict=True)], text_or_empty(text_col).alias(text))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
-    out_schema = ", ".join([*fields, f"{result} binary"])
+    made = [result, *(["decoded"] if decoded_col else [])]
+    out_schema = ", ".join([*fields, *(f"{m} binary" for m in made)])
+
+    def finished(columns: list, ids: list[bytes]) -> pa.RecordBatch:
+        """Rows of the result, from their kept columns and their ids."""
+        arrays = [pa.array(ids, pa.binary())]
+        if decoded_col:
+            coder = vocabulary.decoder()
+            arrays.append(pa.array([coder.decode(i) for i in ids], pa.binary()))
+        return pa.RecordBatch.from_arrays([*columns, *arrays], names=[*kept, *made])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocabulary.encoder()
         for batch in batches:
-            ids = pa.array([coder.encode(t.as_py(), chunk, overlap) for t in batch.column(batch.num_columns - 1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*kept, result])
+            yield finished(batch.columns[:-1], [coder.encode(t.as_py(), chunk, overlap) for t in batch.column(batch.num_columns - 1)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each chunk a row: row number, chunk number, text with its overlap. The
@@ -274,25 +285,28 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_
                     last = pa.array([start + chunk + overlap >= len(value)])
                     yield pa.RecordBatch.from_arrays([*own, row, pa.array([k], pa.int32()), part, last], names=[*kept, "__row", "__chunk", text, "__last"])
 
+    def cuts_of(coder: Encoder, part: str) -> np.ndarray:
+        return np.array(coder.cuts(coder.plain(part), 0, len(part)), "<i4")
+
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocabulary.encoder()
         for batch in batches:
-            parts = [t.as_py() for t in batch.column(len(kept) + 2)]
-            cuts = [np.array(coder.cuts(coder.plain(p), 0, len(p)), "<i4").tobytes() for p in parts]
+            cuts = [cuts_of(coder, t.as_py()).tobytes() for t in batch.column(len(kept) + 2)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cuts, pa.binary())], names=[*batch.schema.names, "__cuts"])
 
     def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, n = vocabulary.encoder(), len(kept)
         for columns, ids in _stitched(coder, batches, n, chunk):
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([ids], pa.binary())], names=[*kept, result])
+            yield finished(columns, [ids])
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The boundaries of a chunk's overlaps, in the coordinates of the right chunk:
         for the pair with its right neighbour, and for that with its left one."""
+        coder = vocabulary.encoder()
         for batch in batches:
             rows, pairs, lefts, rights = [], [], [], []
-            for row, k, last, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                cuts = np.frombuffer(packed, "<i4")
+            for row, k, part, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                cuts = cuts_of(coder, part)
                 if not last:
                     cuts = cuts[: max(1, len(cuts) - 2)]
                     tail = cuts[np.searchsorted(cuts, chunk) :] - chunk
@@ -317,8 +331,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_
         for batch in batches:
             ids = []
             for i in range(batch.num_rows):
-                part, cuts = batch.column(n + 2)[i].as_py(), np.frombuffer(batch.column(n + 4)[i].as_py(), "<i4")
-                begin, end = batch.column(n + 5)[i].as_py() or 0, batch.column(n + 6)[i].as_py()
+                part = batch.column(n + 2)[i].as_py()
+                begin, end, cuts = batch.column(n + 4)[i].as_py() or 0, batch.column(n + 5)[i].as_py(), cuts_of(coder, part)
                 stop = len(part) if end is None else end + chunk
                 own = cuts[np.searchsorted(cuts, begin) : np.searchsorted(cuts, stop, side="right")].tolist()
                 ids.append(coder.encode_between(part, own))
@@ -331,17 +345,18 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_
                 now = batch.column(n)[i].as_py()
                 if now != row:
                     if row is not None:
-                        yield pa.RecordBatch.from_arrays([*columns, pa.array([b"".join(out)], pa.binary())], names=[*kept, result])
+                        yield finished(columns, [b"".join(out)])
                     row, columns, out = now, [batch.column(c).slice(i, 1) for c in range(n)], []
                 out.append(batch.column(n + 2)[i].as_py())
         if row is not None:
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([b"".join(out)], pa.binary())], names=[*kept, result])
+            yield finished(columns, [b"".join(out)])
 
     parts_schema = ", ".join([*fields, "__row long, __chunk int", f"{text} string", "__last boolean"])
     size = F.length(text)
     long = source.where(size > chunk).withColumn("__row", F.monotonically_increasing_id())
-    pieces = long.mapInArrow(cut, parts_schema).repartition("__row", "__chunk").mapInArrow(pretokenise, parts_schema + ", __cuts binary")
-    sides = pieces.select("__row", "__chunk", "__last", "__cuts").mapInArrow(edges, "__r long, __k int, left binary, right binary")
+    # Chunks are cut anew where boundaries are needed: they are no larger than texts.
+    pieces = long.mapInArrow(cut, parts_schema).repartition("__row", "__chunk")
+    sides = pieces.select("__row", "__chunk", text, "__last").mapInArrow(edges, "__r long, __k int, left binary, right binary")
     pairs = sides.groupBy("__r", "__k").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     meets = checkpointed(pairs.mapInArrow(meet, "__r long, __k int, __meet int"))
     apart = checkpointed(meets.where("__meet < 0").select(F.col("__r").alias("__a")).distinct())
@@ -353,9 +368,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_
     parted = met.drop("__b", "__bk", "__e", "__ek").mapInArrow(between, ids_schema)
     out = source.where(size <= chunk).mapInArrow(whole, out_schema).unionByName(parted.repartition("__row").sortWithinPartitions("__row", "__chunk").mapInArrow(gathered, out_schema))
     if apart.limit(1).count():
-        rest = pieces.join(apart, F.col("__row") == F.col("__a"), "left_semi").repartition("__row").sortWithinPartitions("__row", "__chunk")
+        rest = pieces.join(apart, F.col("__row") == F.col("__a"), "left_semi").mapInArrow(pretokenise, parts_schema + ", __cuts binary").repartition("__row").sortWithinPartitions("__row", "__chunk")
         out = out.unionByName(rest.mapInArrow(stitch, out_schema))
-    return out.toDF(*names, out_col)
+    return out.toDF(*names, *results)
 
 
 def _stitched(coder: Encoder, batches: Iterator[pa.RecordBatch], n: int, chunk: int) -> Iterator[tuple[list, bytes]]:

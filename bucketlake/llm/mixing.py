@@ -164,6 +164,17 @@ def _with_topic(rows: DataFrame, name: str, topic: str, model: Topics) -> DataFr
     return with_columns(rows, [T.StructField(topic, T.IntegerType())], make)
 
 
+def _topics_of(docs: DataFrame, text_col: str, topic: str, model: Topics) -> DataFrame:
+    """``docs`` with the topic of the text, in one pass."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        found = [profile(t.as_py())[0] for t in batch.column(at)]
+        return [pa.array(held.value.of(np.stack(found)).astype(np.int32) if found else [], pa.int32())]
+
+    return with_columns(bounded_batches(docs), [T.StructField(topic, T.IntegerType())], make)
+
+
 def target_shares(totals: dict, target: dict | None, flatten: float, rest: float) -> dict:
     """Shares by value, summing to 1 over the values that have tokens."""
     alive = {k: v for k, v in totals.items() if v > 0}
@@ -361,7 +372,7 @@ def sample(
     model = None if topic_col else learn_topics(first.select(F.col(name).alias("profile")), topics)
     cells = _cells(first if topic_col else _with_topic(first, name, topic, model), topic, tokens)
     found = probabilities(cells, targets=targets or {}, flatten=flatten, rest=rest, fraction=fraction, max_cells=max_cells, rounds=rounds)
-    rows = source if topic_col else _with_topic(_profiled(docs, text_col, name, tokens), name, topic, model)
+    rows = source if topic_col else _topics_of(docs, text_col, topic, model)
     joined, p = _joined(rows, found, topic)
     return joined.where(draw(id_col, seed) < F.col(p)).select(*(f"`{c}`" for c in docs.columns))
 

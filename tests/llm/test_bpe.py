@@ -44,6 +44,9 @@ def test_long_rows_are_stitched_across_tasks(spark, chunk, overlap):
     vocabulary = bpe.Vocabulary(spark, PATH, public_tokenizers.PATTERN)
     rows = bpe.decode(bpe.encode(df, vocabulary, chunk=chunk, overlap=overlap), vocabulary).collect()
     assert len(rows) == len(texts)
+    both = bpe.encode(df, vocabulary, decoded_col="decoded", chunk=chunk, overlap=overlap)
+    assert both.columns == ["doc_id", "__row", "ids", "decoded"]
+    assert sorted((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in both.collect()) == sorted((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in rows)
     for r in rows:
         text = texts[r.doc_id] or ""
         assert ids(r.ids) == WHOLE.encode_ordinary(text)
