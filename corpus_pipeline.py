@@ -47,8 +47,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, token ids, their number, and whether decoding the ids
     gives back the bytes of the text."""
     vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    rows = bpe.encode(docs.select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "text"), vocabulary)
-    rows = bpe.decode(rows, vocabulary)
+    rows = docs.select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "text")
+    rows = bpe.encode(rows, vocabulary, decoded_col="decoded")
     return rows.select("doc_id", "lang", "source", bpe.n_ids("ids").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("digest")).alias("restored"))
 
 
