@@ -60,6 +60,7 @@ import html as html_lib
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 from urllib.parse import urlsplit
 
@@ -132,6 +133,12 @@ def _hash(*parts: str) -> int:
 ROOT = _hash("page")
 
 
+@lru_cache(maxsize=1 << 16)
+def _path(outer: int, tag: str, name: str) -> int:
+    """The token of an element, from that of the element around it."""
+    return _hash(str(outer), tag, name)
+
+
 def _names_of(attributes: str) -> tuple[str, list[str], list[str]]:
     """The name by which the path knows the element, its classes with its role, and
     its ids."""
@@ -159,9 +166,12 @@ class Node:
 
     def __init__(self, tag: str, name: str, up: Node | None):
         self.tag, self.up, self.ordinal, self.shut, self.held = tag, up, 0, False, False
-        self.token = _hash(str(up.token), tag, name) if up else ROOT
-        self.block = self if up is None or tag in _BLOCK else up.block
-        self.named, self.out, self.main, self.link = False, False, None, bool(up) and (up.link or tag == "a")
+        self.named, self.out, self.main = False, False, None
+        if up is None:
+            self.token, self.block, self.link = ROOT, self, False
+        else:
+            self.token, self.link = _path(up.token, tag, name), up.link or tag == "a"
+            self.block = self if tag in _BLOCK else up.block
 
 
 def read_page(page: str | None) -> tuple[list[tuple[Node, str | None]], list[Node]]:
@@ -179,6 +189,12 @@ def read_page(page: str | None) -> tuple[list[tuple[Node, str | None]], list[Nod
             runs.append((stack[-1], html_lib.unescape(piece)))
 
     def pop_to(k: int) -> None:
+        if k == len(stack) - 1:
+            last = stack.pop()
+            is_open[last.tag] -= 1
+            if last.tag in _BLOCK:
+                runs.append((stack[-1], None))
+            return
         if any(n.tag in _BLOCK for n in stack[k:]):
             runs.append((stack[k - 1], None))
         is_open.subtract(n.tag for n in stack[k:])
@@ -210,7 +226,9 @@ def read_page(page: str | None) -> tuple[list[tuple[Node, str | None]], list[Nod
             continue
         tag = m[2].lower()
         if m[1]:
-            if is_open[tag] > 0:
+            if stack[-1].tag == tag and len(stack) > 1:
+                pop_to(len(stack) - 1)
+            elif is_open[tag] > 0:
                 pop_to(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         if tag in _RAW_END:
@@ -261,19 +279,20 @@ def blocks(runs: list[tuple[Node, str | None]], keep: Callable[[Node], bool]) ->
     first, parts, linked, links = None, [], 0, 0
     for node, piece in [*runs, (None, None)]:
         if piece is None:
-            if parts and (joined := " ".join("".join(parts).split())):
+            if first is not None:
+                joined = " ".join("".join(parts).split())
                 yield Block(first.block, joined, min(linked, len(joined)), links)
             first, parts, linked, links = None, [], 0, 0
         elif keep(node):
-            if first is None or not "".join(parts).strip():
-                first = node
             parts.append(piece)
-            if node.link and (n := len(piece.strip())):
-                linked, links = linked + n, links + 1
+            if not piece.isspace():
+                first = first or node
+                if node.link:
+                    linked, links = linked + len(piece.strip()), links + 1
 
 
-def _text_token(block: Block) -> int:
-    return _hash("t", str(block.node.token), block.text)
+def _text_token(node: Node, text_hash: int) -> int:
+    return _hash("t", str(node.token), str(text_hash))
 
 
 def _ordinal_token(node: Node) -> int:
@@ -298,7 +317,7 @@ def page_tokens(page: str | None) -> dict[int, tuple]:
             mine = held.setdefault(b.node, [0, 0, 0, 0])
             mine[:] = _hash(str(mine[0]), str(h)), mine[1] + len(b.text), mine[2] + b.linked, mine[3] + b.links
             if not named:
-                found = out.setdefault(_text_token(b), [1, 0, h, len(b.text), b.linked, b.links, False, False, False, b.node.main is not None, False, b.node.token])
+                found = out.setdefault(_text_token(b.node, h), [1, 0, h, len(b.text), b.linked, b.links, False, False, False, b.node.main is not None, False, b.node.token])
                 found[1] += 1
     for node in reversed(nodes):  # inner before outer
         if node in held and node.up is not None and not (node.named and not node.up.out):
@@ -351,7 +370,8 @@ def main_text(page: str | None, template: Template = NO_TEMPLATE) -> tuple[str,
                 own = n.token in template.closed or (n.ordinal and _ordinal_token(n) in template.closed) or (n.named and n.token not in template.reopened)
                 n.shut = n.up.shut or bool(own)
                 n.held = n.up.held or n.token in template.mains
-        found = [b for b in blocks(runs, lambda n: not n.shut) if _text_token(b) not in template.closed]
+        texts_closed = bool(template.closed)
+        found = [b for b in blocks(runs, lambda n: not n.shut) if not texts_closed or _text_token(b.node, _hash("t", b.text)) not in template.closed]
         if any(b.node.held for b in found):
             found = [b for b in found if b.node.held]
         if found:
@@ -377,7 +397,7 @@ def host_tokens(pages: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for url, page in zip(*batch.columns, strict=True):
                 host, found = host_of(url.as_py()), page_tokens(page.as_py())
-                key = str(_hash(str(sorted(found.items()))))
+                key = str(_hash(repr(found)))
                 rows += [(host, _hash(key, str(v[1])), token, *v) for token, v in found.items()]
                 if len(rows) >= 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), shape.types, strict=True)], schema=shape)

@@ -138,7 +138,7 @@ def test_rare_layout_of_a_large_host(spark):
 
 @pytest.mark.parametrize(
     "source",
-    ["<div>x" * 60_000, "</b>" * 200_000 + "x", '<a href="' * 60_000 + "x", "<a " * 100_000 + "x", "<p>" + "x y " * 2_000_000, "<" * 500_000, "<!--" * 100_000, "<p><span>" * 30_000],
+    ["<div>x" * 60_000, "</b>" * 200_000 + "x", '<a href="' * 60_000 + "x", "<a " * 100_000 + "x", "<p>" + "x y " * 2_000_000, "<" * 500_000, "<!--" * 100_000, "<p><span>" * 30_000, "<p>" + "<b>x</b> " * 200_000],
 )
 def test_long_and_hostile_pages(source):
     began = time.perf_counter()
