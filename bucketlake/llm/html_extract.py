@@ -26,10 +26,10 @@ whether it is open or closed, from all pages of the host:
   links      a slot that is mostly links: closed
   named      a slot that most pages name as no content (navigation, header, footer,
              aside, form, advert, notice, comments): closed, unless the names would
-             close over ``BULK`` of the host's text: then they are wrong, and the slots
-             with most of it open again
+             close over ``BULK`` of the host's text and no main element has any: then they
+             are wrong, and the slots with most of it open again
   main       article and main elements exclude what is outside of them if they hold a
-             quarter of the text that names leave open; else such names are wrong
+             tenth of the text that names leave open; else such names are wrong
 In main elements ``constant`` and ``text`` need ``ENOUGH`` pages, so that a few near
 copies don't make their common paragraphs a template, and ``links`` needs lists.
 
@@ -77,7 +77,7 @@ FEW = 3
 FIXED = 0.5
 LINKS = 0.6
 BULK = 0.9
-MAIN_SHARE = 0.25
+MAIN_SHARE = 0.1
 #: Templates are broadcast up to so many numbers in all (8 bytes each).
 BROADCAST_NUMBERS = 1_000_000
 BROADCAST_ROWS = 20_000
@@ -438,7 +438,7 @@ def templates(pages: DataFrame) -> DataFrame:
     constant = once & F.col("constant") & (F.col("support") >= few)
     linked = once & (F.col("linked") > LINKS * F.col("chars")) & lists
     text = F.col("left") + F.col("gone")
-    reopened = F.col("named") & (F.col("gone") > BULK * text) & (F.col("chars") - F.col("linked") >= 0.5 * text) & (F.col("support") >= FEW) & ~F.col("constant")
+    reopened = F.col("named") & (F.col("held") == 0) & (F.col("gone") > BULK * text) & (F.col("chars") - F.col("linked") >= 0.5 * text) & (F.col("support") >= FEW) & ~F.col("constant")
     mains = F.col("main") & (F.col("held") >= MAIN_SHARE * F.col("left"))
     decided = elements.select(
         "host", "token", (constant | linked | (F.col("named") & ~reopened)).alias("closed"), reopened.alias("reopened"), mains.alias("mains"), (F.col("kind") == 0).alias("slots"),

@@ -114,6 +114,12 @@ def test_misnamed_parts(spark):
     assert all(got[100 + i] == f"Tip {i} Story {i} {body}" for i in range(20))
 
 
+def test_short_articles_under_long_footers(spark):
+    legal = "said the small print of this page, which goes on for longer than the story does"
+    rows = [(i, f"http://x.org/{i}", page(f"<article><p>Yes {i}.</p></article><footer>{legal} {i}</footer>"), None) for i in range(6)]
+    assert texts(spark, rows) == {i: f"Yes {i}." for i in range(6)}
+
+
 def test_parts_of_an_article(spark):
     rows = [
         (i, f"http://x.org/{i}", page(f"<article><p class=ad-hoc>One {i}.</p><div class=form-factor>Two {i}.</div></article><aside>Side {i}</aside><article>Three {i}.</article>"), None)
