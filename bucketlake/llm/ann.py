@@ -43,6 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpointed
 
@@ -57,13 +58,21 @@ DENSE = 0.1
 _PAIRS = 1 << 14
 
 
+def stored_kind(table: DataFrame, vector_col: str) -> str:
+    """How components travel: as they are, if they are floats of four bytes, which
+    doubles hold exactly; else as doubles."""
+    kind = table.schema[vector_col].dataType
+    return "<f4" if isinstance(getattr(kind, "elementType", None), T.FloatType) else "<f8"
+
+
 def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vec): vec holds the components as little-endian doubles."""
+    """(id, vec): vec holds the components as little-endian numbers of ``stored_kind``."""
+    kind = stored_kind(table, vector_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
-            x = lists.flatten().fill_null(np.nan).to_numpy(zero_copy_only=False).astype("<f8", copy=False)
+            x = lists.flatten().fill_null(np.nan).to_numpy(zero_copy_only=False).astype(kind, copy=False)
             lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(int)
             ends = np.cumsum(lengths)
             begins = ends - lengths
@@ -72,7 +81,7 @@ def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             out = [x[a:b].tobytes() if g else None for a, b, g in zip(begins.tolist(), ends.tolist(), good.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "vec"])
 
-    rows = table.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).where("id IS NOT NULL")
+    rows = table.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<float>" if kind == "<f4" else "array<double>").alias("v")).where("id IS NOT NULL")
     return rows.mapInArrow(run, "id long, vec binary").where("vec IS NOT NULL")
 
 
@@ -224,19 +233,22 @@ def search(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector
     ``is_query``, a column of ``id``, holds."""
     spark = table.sparkSession
     rows = checkpointed(usable(table, id_col, vector_col))
-    sizes = rows.groupBy((F.octet_length("vec") / 8).cast("int").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
+    kind = stored_kind(table, vector_col)
+    item = np.dtype(kind).itemsize
+    unpacked = lambda data, dims: np.frombuffer(data, kind).astype(float).reshape(-1, dims)
+    sizes = rows.groupBy((F.octet_length("vec") / item).cast("int").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if sizes is None:
         return empty
     dims, n_rows = sizes["dims"], sizes["count"]
-    rows = rows.where(F.octet_length("vec") == dims * 8)
+    rows = rows.where(F.octet_length("vec") == dims * item)
     bound = max(64, min(sample_rows, SAMPLE_BYTES // (8 * dims)))
     drawn = rows.orderBy(F.xxhash64("id", "vec"), "id").limit(bound).collect()  # bounded by rows and bytes
-    sample = np.array([np.frombuffer(r.vec, "<f8") for r in drawn])
+    sample = np.concatenate([unpacked(r.vec, dims) for r in drawn])
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<f8").reshape(-1, dims)
+            x = unpacked(b"".join(batch.column(0).to_pylist()), dims)
             yield pa.RecordBatch.from_arrays([pa.array([float((x**2).sum(axis=1).max()) ** 0.5])], names=["norm"])
 
     norm = rows.select("vec").mapInArrow(norms, "norm double").agg(F.max("norm")).first()[0]
@@ -244,7 +256,7 @@ def search(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<f8").reshape(-1, dims)
+            x = unpacked(b"".join(batch.column(1).to_pylist()), dims)
             lists = nearest_centre(lift(x, norm), index.value.centres)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists.astype(np.int32))], names=["id", "vec", "list"])
 
@@ -266,7 +278,7 @@ def search(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
                     ids, vecs = part.column(0).to_numpy(), part.column(1).to_pylist()
-                    x = np.frombuffer(b"".join(vecs), "<f8").reshape(-1, dims)
+                    x = unpacked(b"".join(vecs), dims)
                     order = np.argsort(held.distances(x), axis=1, kind="stable")
                     chosen = np.full(order.shape, everything)
                     for q in range(len(ids)):
@@ -283,8 +295,9 @@ def search(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector
         held = index.value
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, vecs, q_ids, q_vecs, floor = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in enumerate(("<i8", "<f8", "<i8", "<f8", "<f8")))
-                found = scan_unit(ids, vecs.reshape(-1, dims), q_ids, q_vecs.reshape(-1, dims), floor, held.rotation, held.k)
+                ids, vecs, q_ids, q_vecs, floor = (batch.column(c)[i].as_py() for c in range(5))
+                ids, q_ids, floor = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8"), np.frombuffer(floor, "<f8")
+                found = scan_unit(ids, unpacked(vecs, dims), q_ids, unpacked(q_vecs, dims), floor, held.rotation, held.k)
                 yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=["query_id", "vec_id", "score"])
 
     def found_for(queries: DataFrame, n: int, everything: bool) -> DataFrame:
